@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_blocks, toxicity
+from . import chat_trees, decontaminate, secrets_scan, token_blocks, toxicity, url_rules
 from .common import table
 
 END_ID = 2
@@ -25,5 +25,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op3_decontaminate, op4_toxicity)}
+def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_trees.format_conversations(rows.unionByName(probe))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.mine(url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op10_url_rules)}
 ORACLES: dict[str, str] = {}
