@@ -68,3 +68,11 @@ def fold_of(doc_id) -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(names: list[str]) -> str:
+    """A column name that is none of names, whatever their case."""
+    name, taken = "own_", {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name

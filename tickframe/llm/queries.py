@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, secrets_scan, token_blocks, toxicity, url_rules
+from . import chat_trees, decontaminate, line_chunks, secrets_scan, set_join, token_blocks, toxicity, url_rules
 from .common import table
 
 END_ID = 2
@@ -35,10 +35,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.report(table(spark, sf_dir, "documents"))
+
+
+def op9_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_sets(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_rules.judge(pages, url_rules.mine(url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op8_line_chunks, op9_set_join, op10_url_rules)}
 ORACLES: dict[str, str] = {}
