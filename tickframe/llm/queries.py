@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, line_chunks, secrets_scan, set_join, token_blocks, toxicity, url_rules
+from . import chat_trees, decontaminate, line_chunks, secrets_scan, set_join, token_blocks, toxicity, url_rules, vantage_trees
 from .common import table
 
 END_ID = 2
@@ -35,6 +35,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vantage_trees.usable(table(spark, sf_dir, "embeddings"))
+    return vantage_trees.nearest(vectors, vectors.filter("id % 20 = 0"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.mine(url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op8_line_chunks, op9_set_join, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op6_vantage_trees, op8_line_chunks, op9_set_join, op10_url_rules)}
 ORACLES: dict[str, str] = {}
