@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, line_chunks, secrets_scan, set_join, token_blocks, toxicity, url_rules, vantage_trees
+from . import chat_trees, decontaminate, line_chunks, pieces, secrets_scan, set_join, token_blocks, toxicity, url_rules, vantage_trees
 from .common import table
 
 END_ID = 2
@@ -40,6 +40,13 @@ def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_trees.nearest(vectors, vectors.filter("id % 20 = 0"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_ids", "ids_crc32", "exact")
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +60,5 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.mine(url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op6_vantage_trees, op8_line_chunks, op9_set_join, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op6_vantage_trees, op7_pieces, op8_line_chunks, op9_set_join, op10_url_rules)}
 ORACLES: dict[str, str] = {}
