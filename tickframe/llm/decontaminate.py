@@ -130,7 +130,21 @@ def _pass(state: DataFrame, sent, last: bool) -> DataFrame:
     return state.mapInArrow(run, RESULT if last else carried)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark window; all columns stay."""
-    flags = settle(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(flags, docs["doc_id"].eqNullSafe(flags["_hit"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a benchmark window; all columns stay. Texts are probed and filtered in place, without a shuffle."""
+    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    names, schema, context = docs.columns, docs.schema, docs.sparkSession.sparkContext
+    at = [n.lower() for n in names].index("text")
+    kept, corpus = docs, docs.select(F.col("text").cast("string").alias("text"))
+    first = True
+    for windows in _blocks(benchmark, window, block_chars):
+        sent = context.broadcast(_index(windows, _rarity(corpus, frozenset(w for x in windows for w in x))))
+
+        def keep(batches, sent=sent):
+            for batch in batches:
+                clean = [not probe(words_of(t.as_py()), sent.value)[0] for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        kept = (kept if first else settle(kept)).mapInArrow(keep, schema)
+        first = False
+    return kept
