@@ -2,5 +2,154 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import exprs
+from .operators import REGISTRY, calculate, quality
+from .oracles import ORACLES
+from .plans.pipeline import Pipeline, latest
+from .sources.bars import bars_hourly, bars_orders_daily, bars_user_daily
+
+Source = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(df: DataFrame, drop: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """df with numbers that are not whole to 6 decimals, as doubles without a negative zero, for comparison."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return df.select(*[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "decimal") else F.col(c) for c in df.columns if c not in drop])
+
+
+def indicator(name: str, bars: Source = bars_hourly, **params) -> Source:
+    return lambda spark, sf_dir: rounded(calculate(name, bars(spark, sf_dir), **params))
+
+
+def per_row(value: Callable[[], F.Column], least: int = 1) -> Source:
+    """A row-level expression over hourly bars, from the least-th row of each series."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        told = bars_hourly(spark, sf_dir).withColumns({"value": value(), "rn": exprs.number()}).filter(F.col("rn") >= least)
+        return rounded(told.select("symbol", "ts", "value"))
+
+    return run
+
+
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with flaws at fixed places, in order of arrival."""
+    b = bars_hourly(spark, sf_dir).withColumn("seq", exprs.number().cast("long"))
+
+    def every(n: int) -> F.Column:
+        return F.col("seq") % n == 0
+
+    return b.select(
+        "symbol", F.when(every(89), None).when(every(61), F.col("ts") - F.expr("interval 3 hours")).otherwise(F.col("ts")).alias("ts"), "seq",
+        F.when(~every(53), F.col("open")).alias("open"), F.when(every(47), (F.col("low") - 1).cast("decimal(18,4)")).otherwise(F.col("high")).alias("high"), "low",
+        F.when(every(97), (F.col("close") * 9).cast("decimal(18,4)")).otherwise(F.col("close")).alias("close"), F.when(every(71), -F.col("volume")).otherwise(F.col("volume")).alias("volume"),
+    )
+
+
+def on_flawed(operator: Callable[[DataFrame], DataFrame], drop: tuple[str, ...] = ()) -> Source:
+    return lambda spark, sf_dir: rounded(operator(flawed(spark, sf_dir)), drop)
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator with its category, parameters and outputs."""
+    rows = [(n, i.category, i.required_periods(), [p.name for p in i.params], list(i.fields), i.output.example) for n, i in sorted(REGISTRY.items())]
+    return spark.createDataFrame(rows, "name string, category string, required_periods int, params array<string>, fields array<string>, example string")
+
+
+THREE = Pipeline().add_stage("sma", "sma", period=20).add_stage("bands", "bollinger_bands").add_stage("willr", "williams_r").build()
+ALL = Pipeline()
+for _name in REGISTRY:
+    ALL = ALL.add_stage(_name, _name)
+
+
+def pipeline_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(THREE.run_wide(bars_hourly(spark, sf_dir))).select("symbol", "ts", "sma_value", "bands_upper_band", "willr_value")
+
+
+def pipeline_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = Pipeline().add_stage("sma", "sma", period=20).add_stage("willr", "williams_r").build()
+    return rounded(two.run_long(bars_hourly(spark, sf_dir)))
+
+
+def pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twenty indicators in one plan."""
+    return rounded(ALL.build().run_wide(bars_hourly(spark, sf_dir)))
+
+
+def previous_close() -> F.Column:
+    return F.lag("close").over(exprs.series())
+
+
+QUERIES: dict[str, Source] = {
+    "bars_hourly": lambda s, d: rounded(bars_hourly(s, d)),
+    "bars_user_daily": lambda s, d: rounded(bars_user_daily(s, d)),
+    "bars_orders_daily": lambda s, d: rounded(bars_orders_daily(s, d)),
+    "sma": indicator("sma", period=14),
+    "sma_volume": indicator("sma", source="volume"),
+    "sma_users": indicator("sma", bars_user_daily, period=5),
+    "sma_orders": indicator("sma", bars_orders_daily),
+    "ema_sma": indicator("ema"),
+    "ema_first": indicator("ema", initialization="first_value"),
+    "wma": indicator("wma"),
+    "hma": indicator("hma"),
+    "kama": indicator("kama"),
+    "macd": indicator("macd"),
+    "rsi_wilder": indicator("rsi"),
+    "rsi_sma": indicator("rsi", smoothing="sma"),
+    "rsi_wilder_recursive": indicator("rsi", smoothing="wilder_recursive"),
+    "stochastic": indicator("stochastic"),
+    "stochastic_slow": indicator("stochastic", k_smoothing=3),
+    "williams_r": indicator("williams_r"),
+    "cci": indicator("cci"),
+    "roc_pct": indicator("roc"),
+    "roc_price": indicator("roc", variant="price"),
+    "momentum": indicator("momentum"),
+    "momentum_norm": indicator("momentum", normalized=True, smoothing=3),
+    "stddev_sample": indicator("standard_deviation"),
+    "stddev_pop": indicator("standard_deviation", calculation="population"),
+    "atr_sma": indicator("atr", smoothing="sma"),
+    "atr_ema": indicator("atr", smoothing="ema"),
+    "atr_rma": indicator("atr"),
+    "bollinger": indicator("bollinger_bands"),
+    "vol_hist": indicator("volatility_index"),
+    "vol_gk": indicator("volatility_index", method="garman_klass"),
+    "vol_parkinson": indicator("volatility_index", method="parkinson"),
+    "obv": indicator("obv"),
+    "vwap_none": indicator("vwap"),
+    "vwap_daily": indicator("vwap", session_reset="daily"),
+    "vwap_weekly": indicator("vwap", session_reset="weekly"),
+    "vwap_monthly": indicator("vwap", session_reset="monthly"),
+    "vwap_typical": indicator("vwap", variant="typical", session_reset="daily"),
+    "vwap_weighted": indicator("vwap", variant="weighted", session_reset="daily"),
+    "ad_line": indicator("accumulation_distribution"),
+    "cmf": indicator("chaikin_money_flow"),
+    "true_range": per_row(exprs.true_range),
+    "typical_price": per_row(exprs.typical_price),
+    "pct_change": per_row(lambda: exprs.percentage_change(F.col("close"), previous_close()), 2),
+    "volume_price": per_row(lambda: exprs.volume_weighted_price("typical")),
+    "statistics": lambda s, d: exprs.statistics(bars_hourly(s, d)),
+    "dq_report": on_flawed(quality.report),
+    "dq_issues": on_flawed(quality.issues),
+    "dq_outliers_iqr": on_flawed(lambda b: quality.outliers(b, "iqr")),
+    "dq_outliers_z": on_flawed(lambda b: quality.outliers(b, "zscore")),
+    "dq_outliers_modz": on_flawed(lambda b: quality.outliers(b, "modified_zscore")),
+    "dq_fill_fwd": on_flawed(lambda b: quality.fill_gaps(b, "forward_fill")),
+    "dq_fill_bwd": on_flawed(lambda b: quality.fill_gaps(b, "backward_fill")),
+    "dq_remove": on_flawed(lambda b: quality.fill_gaps(b, "remove")),
+    "dq_norm_minmax": on_flawed(lambda b: quality.normalize(b, "minmax").select("symbol", "ts", "seq", "close")),
+    "dq_norm_z": on_flawed(lambda b: quality.normalize(b, "zscore").select("symbol", "ts", "seq", "close")),
+    "dq_norm_robust": on_flawed(lambda b: quality.normalize(b, "robust").select("symbol", "ts", "seq", "close")),
+    "dq_quality_report": on_flawed(quality.quality_report),
+    "ffill": on_flawed(lambda b: b.select("symbol", "seq", F.coalesce(F.last("open", ignorenulls=True).over(quality.arrival().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("value"))),
+    "pipeline_wide": pipeline_wide,
+    "pipeline_long": pipeline_long,
+    "pipeline_latest": lambda s, d: rounded(latest(calculate("sma", bars_hourly(s, d), period=14))),
+    "pipeline_all": pipeline_all,
+    "registry": registry,
+}
+
+__all__ = ["ORACLES", "QUERIES"]
