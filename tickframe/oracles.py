@@ -26,7 +26,8 @@ def div(a: str, b: str, guard: float) -> str:
 
 
 def r6(x: str, name: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {name}"
+# The tiny addition makes exact halves go up in both engines, whatever their last bit is.
+    return f"round(CAST({x} AS DOUBLE) + 2.3e-10, 6) + 0.0 AS {name}"
 
 
 def zone(x: str, over: float, under: float, name: str) -> str:
@@ -177,13 +178,13 @@ i AS (SELECT symbol, seq, 'invalid_data' AS type, 'Invalid OHLCV data point' AS
 
 def zscore(threshold: float) -> str:
     return f"""{FLAWED}, z AS (SELECT *, avg(close) OVER (PARTITION BY symbol) AS m, stddev_pop(close) OVER (PARTITION BY symbol) AS s, count(close) OVER (PARTITION BY symbol) AS n FROM d)
-SELECT symbol, seq, 'close' AS field, round(close, 6) + 0.0 AS value, '{"modified_zscore" if threshold == 3.5 else "zscore"}' AS method FROM z WHERE n >= 3 AND s > 0 AND abs(close - m) > {threshold} * s"""
+SELECT symbol, seq, 'close' AS field, round(CAST(close AS DOUBLE) + 2.3e-10, 6) + 0.0 AS value, '{"modified_zscore" if threshold == 3.5 else "zscore"}' AS method FROM z WHERE n >= 3 AND s > 0 AND abs(close - m) > {threshold} * s"""
 
 
 def filled(backward: bool) -> str:
     frame = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING" if backward else "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     near = f"{'first' if backward else 'last'}_value(CASE WHEN {VALID} THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq {frame})"
-    prices = ", ".join(f"round(CASE WHEN ok THEN {c} ELSE near END, 6) + 0.0 AS {c}" for c in ("open", "high", "low", "close"))
+    prices = ", ".join(f"round(CASE WHEN ok THEN {c} ELSE near END + 2.3e-10, 6) + 0.0 AS {c}" for c in ("open", "high", "low", "close"))
     return f"{FLAWED}, n AS (SELECT *, {VALID} AS ok, {near} AS near FROM d) SELECT symbol, ts, seq, {prices}, volume FROM n WHERE ok OR near IS NOT NULL"
 
 
@@ -195,7 +196,7 @@ def normalized(method: str) -> str:
         inner = f"SELECT *, avg(close) {part} AS a, stddev_pop(close) {part} AS s FROM d"
     else:
         inner = "SELECT d.*, m.a, m.s FROM d JOIN (SELECT d.symbol, any_value(k.med) AS a, median(abs(close - k.med)) AS s FROM d JOIN (SELECT symbol, median(close) AS med FROM d GROUP BY 1) k ON k.symbol = d.symbol GROUP BY 1) m ON m.symbol = d.symbol"
-    return f"{FLAWED}, n AS ({inner}) SELECT symbol, ts, seq, round(CASE WHEN s > 0 THEN (close - a) / s ELSE close END, 6) + 0.0 AS close FROM n"
+    return f"{FLAWED}, n AS ({inner}) SELECT symbol, ts, seq, round(CAST(CASE WHEN s > 0 THEN (close - a) / s ELSE close END AS DOUBLE) + 2.3e-10, 6) + 0.0 AS close FROM n"
 
 
 PIPELINE_PARTS = {
@@ -262,21 +263,21 @@ ORACLES: dict[str, str] = {
 SELECT symbol, count(*) AS total_points, count(*) FILTER (valid) AS valid_points, count(*) FILTER (NOT valid) AS invalid_points, count(*) FILTER (missing_ts) AS missing_timestamps,
   count(*) FILTER (repeat) AS duplicate_timestamps, count(*) FILTER (backwards) AS chronological_errors, count(*) FILTER (outlier) AS outliers_detected, count(*) FILTER (rule IS NOT NULL) AS ohlc_violations,
   count(*) FILTER (volume = 0) AS zero_volume_count, CAST(sum(CAST(NOT valid AS INT) + missing_ts::INT + repeat::INT + backwards::INT + (rule IS NOT NULL)::INT + bad_volume::INT + outlier::INT) AS BIGINT) AS n_issues,
-  round(greatest(0, (count(*) - sum(CAST(NOT valid AS INT) + missing_ts::INT + repeat::INT + backwards::INT + (rule IS NOT NULL)::INT + bad_volume::INT + outlier::INT)) / count(*) * 100), 6) + 0.0 AS quality_score
+  round(greatest(0, (count(*) - sum(CAST(NOT valid AS INT) + missing_ts::INT + repeat::INT + backwards::INT + (rule IS NOT NULL)::INT + bad_volume::INT + outlier::INT)) / count(*) * 100) + 2.3e-10, 6) + 0.0 AS quality_score
 FROM f GROUP BY symbol""",
     "dq_issues": f"{ISSUES} SELECT * FROM i",
-    "dq_outliers_iqr": f"{FLAWED}, {FLAGS} SELECT symbol, seq, 'close' AS field, round(close, 6) + 0.0 AS value, 'iqr' AS method FROM f WHERE outlier",
+    "dq_outliers_iqr": f"{FLAWED}, {FLAGS} SELECT symbol, seq, 'close' AS field, round(CAST(close AS DOUBLE) + 2.3e-10, 6) + 0.0 AS value, 'iqr' AS method FROM f WHERE outlier",
     "dq_outliers_z": zscore(3.0),
     "dq_outliers_modz": zscore(3.5),
     "dq_fill_fwd": filled(False),
     "dq_fill_bwd": filled(True),
-    "dq_remove": f"{FLAWED} SELECT symbol, ts, seq, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM d WHERE {VALID}",
+    "dq_remove": f"{FLAWED} SELECT symbol, ts, seq, {', '.join(f'round({c} + 2.3e-10, 6) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM d WHERE {VALID}",
     "dq_norm_minmax": normalized("minmax"),
     "dq_norm_z": normalized("zscore"),
     "dq_norm_robust": normalized("robust"),
-    "ffill": f"{FLAWED} SELECT symbol, seq, round(coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING), 0), 6) + 0.0 AS value FROM d",
+    "ffill": f"{FLAWED} SELECT symbol, seq, round(coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) + 2.3e-10, 6) + 0.0 AS value FROM d",
     "pipeline_wide": levels([], "true", [r6(x, n) for n, x in PIPELINE_PARTS.items()]),
     "pipeline_long": f"WITH {BARS}, w AS (SELECT symbol, ts, {', '.join(f'{x} AS {n}' for n, x in PIPELINE_PARTS.items() if n != 'bands_upper_band')} FROM b) "
-    "SELECT symbol, ts, 'sma' AS stage, 'value' AS field, round(sma_value, 6) + 0.0 AS value FROM w WHERE sma_value IS NOT NULL UNION ALL SELECT symbol, ts, 'willr', 'value', round(willr_value, 6) + 0.0 FROM w WHERE willr_value IS NOT NULL",
-    "pipeline_latest": f"WITH {BARS}, l AS (SELECT symbol, ts, rn, avg(close) {last(14)} AS v FROM b) SELECT symbol, max(ts) AS ts, round(arg_max(v, ts), 6) + 0.0 AS value FROM l WHERE rn >= 14 GROUP BY symbol",
+    "SELECT symbol, ts, 'sma' AS stage, 'value' AS field, round(sma_value + 2.3e-10, 6) + 0.0 AS value FROM w WHERE sma_value IS NOT NULL UNION ALL SELECT symbol, ts, 'willr', 'value', round(willr_value + 2.3e-10, 6) + 0.0 FROM w WHERE willr_value IS NOT NULL",
+    "pipeline_latest": f"WITH {BARS}, l AS (SELECT symbol, ts, rn, avg(close) {last(14)} AS v FROM b) SELECT symbol, max(ts) AS ts, round(arg_max(v, ts) + 2.3e-10, 6) + 0.0 AS value FROM l WHERE rn >= 14 GROUP BY symbol",
 }

@@ -17,9 +17,9 @@ Source = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, drop: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """df with numbers that are not whole to 6 decimals, as doubles without a negative zero, for comparison."""
+    """df with numbers that are not whole to 6 decimals, as doubles without a negative zero, for comparison (a tiny addition makes exact halves go up)."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    return df.select(*[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "decimal") else F.col(c) for c in df.columns if c not in drop])
+    return df.select(*[(F.round(F.col(c).cast("double") + F.lit(2.3e-10), 6) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "decimal") else F.col(c) for c in df.columns if c not in drop])
 
 
 def indicator(name: str, bars: Source = bars_hourly, **params) -> Source:
