@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidDataFormat, InvalidParams, insufficient_data
+from ..errors import InvalidDataFormat, InvalidParams, ValidationError, insufficient_data
 from ..functions.exprs import number
 from ..params import FieldMeta, OutputMeta, ParamMeta, validate_params
 from .kernels import Smooth, run_kernels
@@ -102,10 +102,13 @@ def plan(bars: DataFrame, wanted: list[tuple[str, str, dict[str, Any]]]) -> tupl
 def calculate(name: str, bars: DataFrame, strict: bool = False, **params) -> DataFrame:
     """symbol, ts, seq and the indicator's fields, for the rows that have a result.
 
-    A series shorter than required_periods gives no rows; with strict=True it raises InsufficientData instead.
+    A series shorter than required_periods gives no rows; with strict=True it raises InsufficientData instead, and
+    ValidationError where a volume indicator meets negative prices or volumes, or a low above its high.
     """
     if strict:
         check_length(bars, find(name).required_periods(**params))
+        if find(name).category == "volume":
+            check_values(bars)
     df, found = plan(bars, [("x", name, params)])
     ready, columns = found["x"]
     return df.filter(ready).select("symbol", "ts", "seq", *[F.col(f"`{c}`").alias(c.split(".", 1)[1]) for c in columns])
@@ -118,6 +121,17 @@ def check_length(bars: DataFrame, required: int) -> None:
         raise insufficient_data(required, least or 0)
 
 
+def check_values(bars: DataFrame) -> None:
+    """Raise ValidationError for the first kind of impossible value among the columns that bars has."""
+    wrong = {c: F.count_if(F.col(c) < 0) for c in ("open", "high", "low", "close", "volume") if c in bars.columns}
+    if {"high", "low"} <= set(bars.columns):
+        wrong["low above high"] = F.count_if(F.col("low") > F.col("high"))
+    found = bars.agg(*[c.alias(k) for k, c in wrong.items()]).first().asDict()
+    for field_, n in found.items():
+        if n:
+            raise ValidationError(f"{n} rows: {field_}" + (" is negative" if field_ in bars.columns else ""), field=field_, value=n, constraint="non-negative prices and volumes, low not above high")
+
+
 def info(name: str) -> dict[str, Any]:
     """Name, category, parameters and outputs of an indicator."""
     i = find(name)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidDataFormat
+from ..errors import InvalidDataFormat, insufficient_data
 
 PRICE = "decimal(18,4)"
 PRICES = ("open", "high", "low", "close")
@@ -82,3 +82,13 @@ def valid_bar(columns: list[str]) -> Column:
     for p in parts[1:]:
         out = out & p
     return out
+
+
+def validate_bars(bars: DataFrame) -> None:
+    """Raise InsufficientData if there are no bars, InvalidDataFormat for the first unusable one in (symbol, ts, seq) order."""
+    bad = F.coalesce(~valid_bar(bars.columns), F.lit(True))
+    found = bars.agg(F.count("*").alias("n"), F.min(F.when(bad, F.struct("symbol", "ts", "seq"))).alias("first")).first()
+    if not found.n:
+        raise insufficient_data(1, 0)
+    if found.first is not None:
+        raise InvalidDataFormat("Unusable bar", expected="prices, ts, volume of 0 or more", received=found.first.asDict())

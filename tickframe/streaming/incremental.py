@@ -81,6 +81,15 @@ class Stream:
     def update(self, bar: dict[str, Any]) -> dict[str, Any] | None:
         return getattr(self, "_" + self.indicator)(bar)
 
+    def process(self, bars: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        """The results of several bars; if one of them fails, the state is as it was before all of them."""
+        before = json.dumps(self.s)
+        try:
+            return [r for r in map(self.update, bars) if r]
+        except Exception as e:
+            self.s = json.loads(before)
+            raise StreamStateError(f"Batch refused: {e}", operation="process", reason=str(e)) from e
+
     def _ring(self, name: str, value: Any, n: int) -> list | None:
         """The last n values with this one, once there are n."""
         ring = self.s.setdefault(name, [])
@@ -342,3 +351,11 @@ def stream_indicators(bars: DataFrame, stages: list[tuple[str, str, dict]]) -> D
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 STREAMABLE = tuple(REGISTRY)
+
+
+def stream_metrics(query) -> dict[str, float]:
+    """Totals of a running or finished streaming query: batches, rows, seconds, rows a second."""
+    told = query.recentProgress
+    rows = sum(p["numInputRows"] for p in told)
+    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in told) / 1000
+    return {"batches": len(told), "rows": rows, "seconds": seconds, "rows_a_second": rows / seconds if seconds else 0.0}
