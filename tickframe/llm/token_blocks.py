@@ -28,10 +28,11 @@ from .common import new_path, shuffle_partitions
 BLOCK = 128
 PERCENTILE = 0.9
 ROW_IDS = 65_536
-#: Words kept by a Python worker between batches; the cache is emptied beyond that.
-CACHE_WORDS = 400_000
-PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
-STOPS = ".,;:!?"
+#: Pieces of text, and lower-case words in them, that a Python worker keeps between batches; a cache is emptied beyond that.
+CACHE_PIECES = 500_000
+CACHE_WORDS = 900_000
+#: A word of plain letters, each with one lower-case form, and the stops after it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 #: str.split() takes these for white space; the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 NOT_SPACE = re.compile("[^ \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
@@ -59,8 +60,13 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     for w in np.unique(width):
         if w:
             which = np.nonzero(width == w)[0]
-            bits = ((values[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            data = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+            size = 2 if w <= 16 else 4
+            own = values[which].astype(f"<u{size}").view(np.uint8)
+            if w < 8 * size:
+                bits = np.unpackbits(own.reshape(len(which), BLOCK, size), axis=2, bitorder="little")[:, :, : int(w)]
+                data = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+            else:
+                data = own
             packed[starts[which].astype(np.int64)[:, None] + np.arange(data.shape[1])] = data
     return b"".join(
         (
@@ -89,9 +95,12 @@ def unpack(data: bytes) -> np.ndarray:
         if w:
             which = np.nonzero(width == w)[0]
             raw = packed[starts[which][:, None] + np.arange(int(w) * BLOCK // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
-            # A bit matrix times powers of two, in float64: exact for up to 32 bits.
-            values[which] = (bits @ (2.0 ** np.arange(int(w)))).astype(np.uint32)
+            size = 2 if w <= 16 else 4
+            if w < 8 * size:
+                bits = np.zeros((len(which), BLOCK, 8 * size), np.uint8)
+                bits[:, :, : int(w)] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
+                raw = np.packbits(bits, axis=2, bitorder="little")
+            values[which] = np.ascontiguousarray(raw).reshape(len(which), -1).view(f"<u{size}")
     values[np.repeat(np.arange(b), count), places] = patches
     return (values + least[:, None]).reshape(-1)[:n]
 
@@ -139,29 +148,30 @@ class WordEncoder:
         """Ids of pieces: letters and a closing run of stops are separate words to the pre-tokenizer."""
         if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
-        plain: dict[str, tuple[str, str]] = {}
+        plain: list[tuple[str, str, str]] = []
         rest: set[str] = set()
         for piece in pieces:
-            core = piece.rstrip(STOPS)
-            low = core.lower()
-            if core.isalpha() and PLAIN(low):
-                plain[piece] = low, piece[len(core) :]
-                rest.add(piece[len(core) :])
+            m = PLAIN(piece)
+            if m:
+                core, tail = m.groups()
+                plain.append((piece, core.lower(), tail))
             else:
                 rest.add(piece)
-        rest.discard("")
-        self._learn_cores(list({low for low, _ in plain.values()} - self.cores.keys()))
-        others = list(rest)
+        self._learn_cores(list({low for _, low, _ in plain}.difference(self.cores)))
+        others = list(rest.union(tail for _, _, tail in plain if tail))
         own = dict(zip(others, self._encode(others), strict=True))
-        self.known.update((p, own[p]) for p in pieces - plain.keys())
-        self.known.update((p, self.cores[low] + own[tail] if tail else self.cores[low]) for p, (low, tail) in plain.items())
+        cores, known = self.cores, self.known
+        for piece, low, tail in plain:
+            known[piece] = cores[low] + own[tail] if tail else cores[low]
+        for piece in rest:
+            known[piece] = own[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [NOT_SPACE(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        missing = {p for pieces in split for p in pieces} - self.known.keys()
+        missing = set().union(*split).difference(self.known)
         if missing:
             self._learn(missing)
         get = self.known.__getitem__
