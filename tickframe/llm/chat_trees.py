@@ -39,18 +39,24 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit("(?s)\\\\(.)"), F.lit("$1"))
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Jump tables: the k-th has each node's ancestor 2**k steps up (null beyond the root), and the score and steps of what lies between."""
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jump tables, and (tree, node, sum, steps) up to the root for every node that has one.
+
+    The k-th table has the ancestor 2**k steps up of each node that is so deep, with the score and steps of what lies
+    between. Nodes whose root is found leave the rounds, so a few deep trees do not drag the shallow ones along.
+    """
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.lit(True).alias("there"))
     own = nodes.join(known, (F.col("t") == F.col("tree")) & (F.col("p") == F.col("parent")), "left")
     table = settle(own.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps")))
-    tables, most = [table], nodes.count()
-    while 2 ** len(tables) <= 2 * most and not table.filter("up is not null").isEmpty():
-        far = table.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        both = table.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-        table = settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
-        tables.append(table)
-    return tables
+    rooted, active = table.filter("up is null"), table.filter("up is not null")
+    tables, most = [active], nodes.count()
+    while 2 ** len(tables) <= 2 * most and not active.isEmpty():
+        far = rooted.unionByName(active).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        both = active.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        table = settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps")))
+        rooted, active = rooted.unionByName(table.filter("up is null")), table.filter("up is not null")
+        tables.append(active)
+    return tables, rooted.drop("up")
 
 
 def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -60,16 +66,16 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     or below a cycle reach no root and are left out. Ties go to the smaller leaf. branches=None keeps every path.
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    jumps = _jumps(nodes)
-    rooted = jumps[-1].filter("up is null").select("tree", "node", F.col("sum").alias("path_score"), F.col("steps").alias("depth"))
-    inner = jumps[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    jumps, rooted = _jumps(nodes)
+    rooted = rooted.select("tree", "node", F.col("sum").alias("path_score"), F.col("steps").alias("depth"))
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = rooted.join(inner, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "node")))
     if branches is not None:
         ranked = ranked.filter(F.col("rank") <= branches)
     reached = settle(ranked.select("tree", F.col("node").alias("leaf"), "rank", "path_score", "depth", "node", F.lit(0).cast("long").alias("above")))
     for k in range(len(jumps) - 1, -1, -1):
-        step = jumps[k].filter("up is not null").select("tree", "node", "up")
+        step = jumps[k].select("tree", "node", "up")
         more = reached.join(step, ["tree", "node"]).select("tree", "leaf", "rank", "path_score", "depth", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above"))
         reached = settle(reached.unionByName(more))
     return reached.select("tree", "leaf", "rank", "path_score", "node", (F.col("depth") - 1 - F.col("above")).alias("at"))
