@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .token_blocks import text_batches
 
 SPACE = "▁"
-#: Characters of distinct units that one suffix array covers, and units a Python worker remembers.
-INDEX_CHARS = 700_000
-CACHE_UNITS = 500_000
+#: Characters of distinct units that one suffix array covers, and units a Python worker remembers within a task.
+INDEX_CHARS = 350_000
+CACHE_UNITS = 250_000
 
 
 class PieceModel:
@@ -239,6 +239,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_ids", "ids_crc32", "exact", "ids"],
                 )
+        pieces.known.clear()  # Spark keeps the worker for other stages, which need the memory
 
     return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids array<int>")
 
