@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its word 5-grams. In each run, a set takes the SAMPLE tokens that a seeded hash puts lowest; sets
-that took the same token share a bucket. Two sets of similarity s miss each other in a run with probability of about
+that took the same token, and whose sizes allow the threshold, share a bucket. Two sets of similarity s miss each other in a run with probability of about
 (1 - s) ** SAMPLE, so runs_for(target) runs reach the target recall at the threshold.
 
 Buckets of up to BUCKET sets are compared by brute force. A larger one whose members agree on few of their sampled
@@ -29,6 +29,10 @@ THRESHOLD = (4, 5)  # similarity of at least 4 / 5
 SAMPLE = 4
 TARGET_RECALL = 0.99999
 BUCKET = 400
+#: Sets and tokens that a task holds of each of two blocks, about.
+BLOCK, BLOCK_TOKENS = 1_500, 1_500_000
+#: Sizes within the threshold's ratio (5 / 4) fall into the same or neighbouring powers of this; a little more, for rounding.
+SIZE_STEP = 1.26
 MAX_DEPTH = 2
 #: Share of sampled tokens that two members of a bucket have in common, on average, from which the bucket counts as dense.
 DENSE = 0.3
@@ -94,10 +98,10 @@ def _texts(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(path, digest) rows of buckets with two members or more, with the bucket's size; of buckets with the same members one stays."""
+    """rows (path, digest, n) of buckets with two members or more, with the bucket's size and tokens; of buckets with the same members one stays."""
     one, two = F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64("digest", F.lit(1)))
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), one.alias("x"), two.alias("y")).filter("size > 1")
-    first = sizes.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path", "size")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), one.alias("x"), two.alias("y")).filter("size > 1")
+    first = sizes.groupBy("size", "weight", "x", "y").agg(F.min("path").alias("path")).select("path", "size", "weight")
     return settle(rows.join(first, "path"))
 
 
@@ -110,20 +114,21 @@ def _density(big: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _children(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """(path, digest) of the buckets below sparse large ones: each member takes the lowest of its tokens by a hash that its path seeds."""
+    """(path, digest, n) of the buckets below sparse large ones: each member takes the lowest of its tokens by a hash that its path seeds."""
 
     def split(batches):
         for batch in batches:
-            paths, digests = [], []
+            paths, digests, sizes = [], [], []
             for path, digest, tokens in zip(batch.column("path").to_pylist(), batch.column("digest").to_pylist(), batch.column("tokens"), strict=True):
                 seed = mix(np.array([path], np.int64).view(U))[0]
                 # One more than at the root: the token all members share by their path is among them at worst.
                 for p in lowest(np.frombuffer(tokens.as_buffer(), U), seed, SAMPLE + 1).astype(np.int64).tolist():
                     paths.append(p)
                     digests.append(digest)
-            yield pa.record_batch([pa.array(paths, pa.int64()), pa.array(digests, pa.binary())], ["path", "digest"])
+                    sizes.append(len(tokens.as_buffer()) // 8)
+            yield pa.record_batch([pa.array(paths, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["path", "digest", "n"])
 
-    return big.join(sets, "digest").select("path", "digest", "tokens").mapInArrow(split, "path long, digest binary")
+    return big.join(sets, "digest").select("path", "digest", "tokens").mapInArrow(split, "path long, digest binary, n int")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, whole: bool) -> list[tuple[int, int]]:
@@ -166,12 +171,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, whole: b
 def _verify(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Brute force over buckets: (digest, links, root) rows; root links the member to another of its group, or is null.
 
-    Blocks of a bucket over BUCKET members meet in pairs, so a task never holds more than two blocks.
+    Blocks of a large bucket meet in pairs, so a task never holds more than two blocks.
     """
     homes = members.groupBy("digest").agg(F.sort_array(F.collect_set("path")).alias("homes"))
-    block = F.expr(f"pmod(xxhash64(digest, 7), cast(ceil(size / {BUCKET}) as int))").cast("int")
-    n_blocks = F.ceil(F.col("size") / BUCKET).cast("int")
-    dealt = members.withColumn("block", F.when(F.col("size") > BUCKET, block).otherwise(0)).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_TOKENS)).cast("int")
+    dealt = members.withColumn("blocks", n_blocks).withColumn("block", F.expr("cast(pmod(xxhash64(digest, 7), blocks) as int)"))
+    whole = dealt.filter("blocks = 1").withColumn("other", F.lit(0))
+    dealt = whole.unionByName(dealt.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = dealt.select("path", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest")
     full = dealt.join(homes, "digest").join(sets, "digest").select("path", "a", "b", "block", "digest", "homes", "tokens")
     laid = full.repartition(parts, "path", "a", "b").sortWithinPartitions("path", "a", "b")
@@ -230,17 +236,21 @@ def _verify(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component, for the nodes of edges (a, b). Large-star, small-star rounds."""
+    """(node, root): the smallest node of each connected component, for the nodes of edges (a, b).
+
+    Large-star and small-star rounds, until every node has one smaller neighbour at most and none has both smaller and
+    larger ones: then the edges point from each node to its root.
+    """
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
     while True:
-        told = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if told == before or not told[0]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = told
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.join(least, F.col("a") == F.col("c")).select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        # Each larger neighbour of a node, and the node itself, meet its smallest neighbour.
+        large = both.withColumn("own", F.lit(False)).unionByName(both.select("a", F.col("a").alias("b"), F.lit(True).alias("own")).distinct())
+        large = large.join(least, F.col("a") == F.col("c")).filter("b > a or own").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = settle(large)
         small = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
         now = settle(large.join(small, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("c").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
@@ -256,8 +266,11 @@ def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
     """
     texts = _texts(docs, runs_for(target_recall))
     parts = shuffle_partitions(docs.sparkSession)
-    distinct = settle(texts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("rep"), F.first("paths").alias("paths"), F.count("*").alias("n_copies")))
-    shared = _shared(distinct.select("digest", F.explode(F.array_distinct("paths")).alias("path")))
+    distinct = settle(texts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("rep"), F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("n_copies")))
+    # A path goes with a size class and with the next one: similar sizes have at least one of them in common.
+    size_class = F.floor(F.log("n") / math.log(SIZE_STEP))
+    taken = distinct.select("digest", "n", F.explode(F.array_distinct("paths")).alias("p")).select("digest", "n", "p", F.explode(F.array(size_class, size_class + 1)).alias("c"))
+    shared = _shared(taken.select(F.xxhash64("p", "c").alias("path"), "digest", "n"))
     # The sets of texts that share a bucket are made again from their texts, once; no other set is ever stored.
     wanted = shared.select("digest").distinct().join(distinct, "digest").select("digest", F.col("rep.doc_id").alias("of"), F.col("rep.own").alias("of_own"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
@@ -267,25 +280,31 @@ def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
         for batch in batches:
             yield pa.record_batch([batch.column("digest"), pa.array([tokens_of(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["digest", "tokens"])
 
-    sets = settle(again.mapInArrow(sets_of, "digest binary, tokens binary").dropDuplicates(["digest"]))
+    sets = again.mapInArrow(sets_of, "digest binary, tokens binary")
+    if not texts.groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["digest"])  # rows that repeat id and text
+    sets = settle(sets)
     leaves, level = shared.filter(F.col("size") <= BUCKET), shared.filter(F.col("size") > BUCKET)
     for depth in range(MAX_DEPTH):
         if level.isEmpty():
             break
         judged = settle(level.join(_density(level, distinct), "path"))
         leaves = leaves.unionByName(judged.filter("dense").drop("dense"))
-        level = _shared(_children(judged.filter(~F.col("dense")), sets).distinct())
+        level = _shared(settle(_children(judged.filter(~F.col("dense")), sets).distinct()))
         if depth + 1 < MAX_DEPTH:
             leaves = leaves.unionByName(level.filter(F.col("size") <= BUCKET))
             level = level.filter(F.col("size") > BUCKET)
     leaves = settle(leaves.unionByName(level))
     found = settle(_verify(leaves, sets, parts))
     links = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    groups = components(found.filter("root is not null").select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
-    told = distinct.select("digest", "rep", "n_copies").join(links, "digest", "left").join(groups, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    told = settle(told)
-    classes = told.groupBy("root").agg(F.min("rep").alias("least"))
-    named = told.join(classes, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.own").alias("class_own"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("rep.doc_id").alias("copy_of"), "n_copies")
+    groups = components(found.filter("root is not null").select(F.col("digest").alias("a"), F.col("root").alias("b")))
+    # Only linked texts go through what follows; all others stand for themselves.
+    grouped = settle(groups.select(F.col("node").alias("digest"), "root").join(distinct.select("digest", "rep"), "digest"))
+    classes = grouped.groupBy("root").agg(F.min("rep").alias("least"))
+    linked_texts = grouped.select("digest", "root").join(classes, "root").select("digest", "least").join(links, "digest")
+    told = distinct.select("digest", "rep", "n_copies").join(linked_texts, "digest", "left")
+    least = F.coalesce("least", "rep")
+    named = told.select("digest", least["doc_id"].alias("class_id"), least["own"].alias("class_own"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("rep.doc_id").alias("copy_of"), "n_copies")
     return texts.select("doc_id", "own", "digest").join(named, "digest").select("doc_id", "own", "class_id", "class_own", "n_links", "copy_of", "n_copies")
 
 
