@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each one operator of tickframe.llm over all that the stage before it kept.
 
-toxic documents go, repeated line chunks are taken out, one document of each group of near copies stays, documents with
+toxic documents go, repeated line chunks and passages are taken out, one document of each group of near copies stays, documents with
 benchmark passages go, and what is left becomes SentencePiece ids. run() applies the stages to `documents`; each result
 but the last has the columns of `documents`, is written as Parquet to the shared folder and read back.
 
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(docs)
+    return line_chunks.whole_dedup(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -210,6 +210,55 @@ def test_line_dedup_of_messy_rows(messy):
     assert line_chunks.report(messy).count() == messy.count()
 
 
+def long_repeats(rows, least):
+    """By pairs of places, without chunks: the places (doc, line) of later occurrences of runs of at least so many words."""
+    texts, found = [(d, (t or "").split("\n")) for d, t in rows], set()
+    for j, (doc, b) in enumerate(texts):
+        for i, (_, a) in enumerate(texts[: j + 1]):
+            for x, y in ((x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y] and (i < j or x < y) and not (x and y and a[x - 1] == b[y - 1])):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n] and (i < j or x + n < y):
+                    n += 1
+                if sum(len(line.split()) for line in b[y : y + n]) >= least:
+                    found |= {(doc, k) for k in range(y, y + n) if b[k].strip()}
+    return found
+
+
+def check_long_repeats(rows, got, least=50):
+    """Of each line of a text, no more copies stay than brute force leaves. Returns what goes."""
+    texts, goes = {d: (t or "").split("\n") for d, t in rows}, long_repeats(rows, least)
+    for doc in {d for d, _ in goes}:
+        most = Counter(x for i, x in enumerate(texts[doc]) if (doc, i) not in goes)
+        for x, n in Counter(got[doc].split("\n")).items():
+            assert not x.strip() or n <= most[x], (doc, x)
+    return goes
+
+
+@pytest.mark.parametrize("n_lines, n_words", [(2, 30), (3, 20), (4, 15), (6, 10), (60, 1)])
+def test_long_passages_go_whatever_their_neighbours(spark, n_lines, n_words):
+    rows = []
+    for k in range(40):
+        passage = [" ".join(f"p{k}.{i}.{w}" for w in range(n_words)) for i in range(n_lines)]
+        for copy in range(2):
+            around = [" ".join(f"o{k}.{copy}.{i}.{w}" for w in range(12)) for i in range(4)]
+            rows.append((2 * k + copy, "\n".join([*around[:2], *passage[:1], "", *passage[1:], *around[2:]])))
+    rows.append((900, "\n".join(["ten words in a line that comes again and again"] * 30)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(pairs(line_chunks.whole_dedup(docs), "doc_id", "text"))
+    assert {d for d, _ in check_long_repeats(rows, got)} == {*range(1, 80, 2), 900}
+    for k in range(40):
+        assert got[2 * k] == rows[2 * k][1] and all(x in got[2 * k + 1] for x in rows[2 * k + 1][1].split("\n") if x.startswith("o"))
+    assert 5 <= got[900].count("ten words") <= 6
+
+
+def test_every_line_stays_somewhere(documents):
+    rows = pairs(documents, "doc_id", "text")
+    got = dict(pairs(line_chunks.whole_dedup(documents), "doc_id", "text"))
+    lines = lambda texts: {x for t in texts for x in (t or "").split("\n") if x.strip()}
+    assert lines(got.values()) == lines(t for _, t in rows)
+    assert check_long_repeats(sorted((d, t) for d, t in rows if (t or "").count("\n") < 40), got)
+
+
 def brute_join(rows):
     """(class_id, n_links, copy_of) of each text."""
     first = {}

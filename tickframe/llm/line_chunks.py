@@ -5,10 +5,17 @@ removed lines move no boundary beyond their neighbours. A line of LONG_WORDS wor
 width) is a chunk of its own. A chunk of several lines, or such a long line, that occurs more than once in the corpus
 stays at its first place (smallest doc_id, then the text's hash, then the place in the text) and goes everywhere else.
 Chunks are grouped by hash and by their bytes, so equal hashes alone remove nothing.
+
+Chunks see a passage only where a boundary falls right, so whole_dedup also compares line runs: from each line on, and up
+to each line, the shortest run of RUN_WORDS words. A repeated passage of so many words is the union of such runs, whatever
+its neighbours are. Runs are compared by 128-bit BLAKE2 digests over the digests of their lines; their bytes do not travel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,6 +29,10 @@ MOST_LINES = 32
 LONG_WORDS = 40
 #: Several short lines count if they have so many words together.
 LEAST_WORDS = 10
+#: A repeated run of lines with so many words goes whole.
+RUN_WORDS = 50
+#: Chunks and runs handed over at once by a Python worker.
+ROWS = 50_000
 MASK = (1 << 64) - 1
 
 
@@ -54,42 +65,96 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int, bool]]:
     return out
 
 
+def line_runs(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each run of RUN_WORDS words that has fewer without its first or without its last line.
+
+    Runs begin and end with lines that have words. Whether a run counts depends on its own lines only, so it counts at each
+    of its places; any passage of RUN_WORDS words is covered by the runs in it, but for lines without words at its ends.
+    """
+    at = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
+    out = set()
+    last, total = 0, 0
+    for first, (i, n) in enumerate(at):  # the shortest run from each line on
+        while last < len(at) and total < RUN_WORDS:
+            total += at[last][1]
+            last += 1
+        if total < RUN_WORDS:
+            break
+        out.add((i, at[last - 1][0] + 1))
+        total -= n
+    first, total = 0, 0
+    for i, n in at:  # the shortest run up to each line
+        total += n
+        while total - at[first][1] >= RUN_WORDS:
+            total -= at[first][1]
+            first += 1
+        if total >= RUN_WORDS:
+            out.add((at[first][0], i + 1))
+    return sorted(out)
+
+
+def _run_hashes(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    if runs := line_runs(lines):
+        digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
+        for a, b in runs:
+            yield a, b, blake2b(b"".join(digests[a:b]), digest_size=16).digest()
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, own (hash of the text) and drop: the numbers of the chunks that go, for the texts that lose any."""
+def repeated_lines(docs: DataFrame, runs: bool) -> DataFrame:
+    """doc_id, own (hash of the text) and drop: the ranges of lines that go (a, and b after the last), for the texts that lose any."""
 
     def emit(batches):
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def packed(cols):
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "own", "a", "b", "hash", "body"])
+
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in types]
             for doc, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), batch.column("text"), strict=True):
                 lines = (text.as_py() or "").split("\n")
-                for i, (a, b, may_go) in enumerate(chunk_lines(lines)):
+                found: list[tuple[int, int, bytes, bytes | None]] = []
+                for a, b, may_go in chunk_lines(lines):
                     if may_go:
                         body = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
-                        for c, v in zip(cols, (doc, own, i, xxhash.xxh3_128_digest(body), body), strict=True):
-                            c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "own", "chunk", "hash", "body"])
-
-    schema = "doc_id long, own long, chunk int, hash binary, body binary"
-    chunks = _keyed(docs).mapInArrow(emit, schema)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own", "chunk")
+                        found.append((a, b, xxhash.xxh3_128_digest(body), body))
+                if runs:
+                    found += [(a, b, h, None) for a, b, h in _run_hashes(lines)]
+                for row in found:
+                    for c, v in zip(cols, (doc, own, *row), strict=True):
+                        c.append(v)
+                if len(cols[0]) >= ROWS:
+                    yield packed(cols)
+                    cols = [[] for _ in types]
+            yield packed(cols)
+
+    schema = "doc_id long, own long, a int, b int, hash binary, body binary"
+    parts = _keyed(docs).mapInArrow(emit, schema)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own", "a")
     # Grouping by the body compares the bytes; map-side sums keep a chunk that a third of all texts hold to a row per task.
-    classes = chunks.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("hash", "first")
+    classes = parts.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("hash", "first")
     # Two bodies of one hash (never seen with 128 bits) are left alone.
     classes = settle(classes.groupBy("hash").agg(F.count("*").alias("bodies"), F.first("first").alias("first")).filter("bodies = 1").select("hash", "first"))
-    found = chunks.select("doc_id", "own", "chunk", "hash").join(classes, "hash").filter(~place.eqNullSafe(F.col("first")))
-    return found.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("chunk")).alias("drop"))
+    found = parts.select("doc_id", "own", "a", "b", "hash").join(classes, "hash").filter(~place.eqNullSafe(F.col("first")))
+    # A run that overlaps its own first place takes out only what is after that place.
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
+    after = F.when(same, F.greatest("a", F.col("first.a") + F.col("b") - F.col("a"))).otherwise(F.col("a"))
+    goes = found.select("doc_id", "own", after.alias("a"), "b").filter("a < b")
+    return goes.groupBy("doc_id", "own").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
 
 
-def without_chunks(text: str | None, drop: list[int] | None) -> str | None:
+def without_lines(text: str | None, drop: list[dict[str, int]] | None) -> str | None:
     if text is None or not drop:
         return text
-    lines, gone = text.split("\n"), set(drop)
-    return "\n".join(x for i, (a, b, _) in enumerate(chunk_lines(lines)) if i not in gone for x in lines[a:b])
+    lines, kept, at = text.split("\n"), [], 0
+    for a, b in sorted((x["a"], x["b"]) for x in drop):
+        kept += lines[at:a]
+        at = max(at, b)
+    return "\n".join(kept + lines[at:])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -98,8 +163,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts stay as they are. Rows that repeat both doc_id and text are treated alike: what stays in one
     stays in all of them. Null ids come last in the order of places.
     """
+    return _without(docs, repeated_lines(docs, runs=False))
+
+
+def whole_dedup(docs: DataFrame) -> DataFrame:
+    """dedup_lines, and repeated line runs of RUN_WORDS words or more go too, whatever stands around them.
+
+    Of all places of a run the first stays. Every line that goes has an equal line at an earlier place, so none is lost.
+    """
+    return _without(docs, repeated_lines(docs, runs=True))
+
+
+def _without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     names = docs.columns
-    goes = settle(repeated_chunks(docs))
+    goes = settle(repeated)
     # The whole row travels as one struct, so no column of docs can clash with what is added.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"))
     keyed = goes.select(F.col("doc_id").alias("of"), F.col("own").alias("of_own"), "drop")
@@ -111,7 +188,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             drops = batch.column(batch.num_columns - 1)
             if drops.null_count < len(drops):
                 at = names.index("text")
-                texts = pa.array([without_chunks(t.as_py(), d.as_py()) if d.is_valid else t.as_py() for t, d in zip(batch.column(at), drops, strict=True)], batch.schema.field(at).type)
+                texts = pa.array([without_lines(t.as_py(), d.as_py()) if d.is_valid else t.as_py() for t, d in zip(batch.column(at), drops, strict=True)], batch.schema.field(at).type)
                 batch = batch.set_column(at, batch.schema.field(at), texts)
             yield batch.select(range(len(names)))
 
@@ -120,7 +197,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_lines and n_kept (lines before and after), n_chars and kept_chars, kept_sha256 of the text that stays."""
-    rows = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text").cast("string").alias("before")).select("doc_id", "text", F.size(F.split(F.coalesce("before", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.length(F.coalesce("before", F.lit(""))).cast("long").alias("n_chars")))
+    rows = whole_dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text").cast("string").alias("before")).select("doc_id", "text", F.size(F.split(F.coalesce("before", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.length(F.coalesce("before", F.lit(""))).cast("long").alias("n_chars")))
     text = F.coalesce("text", F.lit(""))
     kept = F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
     return rows.select("doc_id", "n_lines", kept.alias("n_kept"), "n_chars", F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
