@@ -251,6 +251,16 @@ def test_long_passages_go_whatever_their_neighbours(spark, n_lines, n_words):
     assert 5 <= got[900].count("ten words") <= 6
 
 
+def test_copies_leave_no_fragments(spark, documents):
+    rows = [(2 * k + c, "\n".join(" ".join(f"c{k}.{i}.{w}" for w in range(7)) for i in range(2 + k % 5))) for k in range(40) for c in range(2)]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string"), documents):
+        got, seen = dict(pairs(line_chunks.whole_dedup(table), "doc_id", "text")), set()
+        for d, t in sorted(pairs(table, "doc_id", "text")):
+            if t in seen and sum(bool(x.strip()) for x in t.split("\n")) > 1 and len(t.split()) >= line_chunks.LEAST_WORDS:
+                assert not got[d].strip(), d
+            seen.add(t)
+
+
 def test_every_line_stays_somewhere(documents):
     rows = pairs(documents, "doc_id", "text")
     got = dict(pairs(line_chunks.whole_dedup(documents), "doc_id", "text"))

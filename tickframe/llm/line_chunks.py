@@ -8,7 +8,8 @@ Chunks are grouped by hash and by their bytes, so equal hashes alone remove noth
 
 Chunks see a passage only where a boundary falls right, so whole_dedup also compares line runs: from each line on, and up
 to each line, the shortest run of RUN_WORDS words. A repeated passage of so many words is the union of such runs, whatever
-its neighbours are. Runs are compared by 128-bit BLAKE2 digests over the digests of their lines; their bytes do not travel.
+its neighbours are. A text of several lines and fewer words is one run, so later copies of a text leave no fragments but of
+single lines. Runs are compared by 128-bit BLAKE2 digests over the digests of their lines; their bytes do not travel.
 """
 
 from __future__ import annotations
@@ -70,6 +71,7 @@ def line_runs(lines: list[str]) -> list[tuple[int, int]]:
 
     Runs begin and end with lines that have words. Whether a run counts depends on its own lines only, so it counts at each
     of its places; any passage of RUN_WORDS words is covered by the runs in it, but for lines without words at its ends.
+    A text of several lines that is shorter than that is one run from LEAST_WORDS words on, so that copies go whole.
     """
     at = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
     out = set()
@@ -90,6 +92,8 @@ def line_runs(lines: list[str]) -> list[tuple[int, int]]:
             first += 1
         if total >= RUN_WORDS:
             out.add((at[first][0], i + 1))
+    if len(at) > 1 and not out and sum(n for _, n in at) >= LEAST_WORDS:
+        out.add((at[0][0], at[-1][0] + 1))  # a whole text of several short lines, however its chunks fall
     return sorted(out)
 
 
