@@ -261,6 +261,18 @@ def test_copies_leave_no_fragments(spark, documents):
             seen.add(t)
 
 
+@pytest.mark.parametrize("first", [0x4E00, 0x3041, 0x0E01])
+def test_scripts_without_spaces_have_words(spark, first):
+    letters = lambda seed, n: "".join(chr(first + (seed * 31 + i * i) % 40) for i in range(n))
+    line, run = letters(1, 200), [letters(s, 30) for s in range(2, 11)]
+    docs = spark.createDataFrame([(i, "\n".join([f"own {i}", line, f"more {i}", *run, f"end {i}"])) for i in range(3)], "doc_id long, text string")
+    for dedup in (line_chunks.dedup_lines, line_chunks.whole_dedup):
+        got = dict(pairs(dedup(docs), "doc_id", "text"))
+        assert line in got[0] and line not in got[1] and line not in got[2] and "own 1\nmore 1" in got[1]
+    assert all(x in got[0] and x not in got[1] for x in run)
+    assert line_chunks.n_words("漢 字") == 2 and line_chunks.n_words("Überlänge, naïve") == 2
+
+
 def test_every_line_stays_somewhere(documents):
     rows = pairs(documents, "doc_id", "text")
     got = dict(pairs(line_chunks.whole_dedup(documents), "doc_id", "text"))

@@ -14,6 +14,7 @@ single lines. Runs are compared by 128-bit BLAKE2 digests over the digests of th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -35,6 +36,16 @@ RUN_WORDS = 50
 #: Chunks and runs handed over at once by a Python worker.
 ROWS = 50_000
 MASK = (1 << 64) - 1
+#: Letters of scripts that put no space between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: So many of them count as a word.
+UNSPACED_A_WORD = 2
+
+
+def n_words(line: str) -> int:
+    """Words between white space, or by the length in characters where the script has no spaces, if that is more."""
+    n = len(line.split())
+    return n if line.isascii() else max(n, len(UNSPACED.findall(line)) // UNSPACED_A_WORD)
 
 
 def chunk_lines(lines: list[str]) -> list[tuple[int, int, bool]]:
@@ -49,7 +60,7 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int, bool]]:
         start, words = end, 0
 
     for i, line in enumerate(lines):
-        n = len(line.split())
+        n = n_words(line)
         recent = [*recent[1:], xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))]
         if n >= LONG_WORDS:
             close(i)
@@ -73,7 +84,7 @@ def line_runs(lines: list[str]) -> list[tuple[int, int]]:
     of its places; any passage of RUN_WORDS words is covered by the runs in it, but for lines without words at its ends.
     A text of several lines that is shorter than that is one run from LEAST_WORDS words on, so that copies go whole.
     """
-    at = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
+    at = [(i, n) for i, line in enumerate(lines) if (n := n_words(line))]
     out = set()
     last, total = 0, 0
     for first, (i, n) in enumerate(at):  # the shortest run from each line on
