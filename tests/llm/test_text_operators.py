@@ -164,6 +164,31 @@ def test_secrets(spark, messy):
     assert secrets_scan.scan(docs.limit(0)).count() == 0
 
 
+def private_key(seed, lines=30):
+    return [hashlib.sha512(f"{seed}.{i}".encode()).hexdigest()[:64].upper() for i in range(lines)] + ["Zm9v="]
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {}
+    for i in range(6):
+        texts[i] = f"own {i}\n" + "\n".join([begin, *private_key(i), end]) + "\nmore"
+        texts[10 + i] = "\n".join([begin, *private_key(10 + i)]) + "\nwithout an end"
+        texts[20 + i] = ("\r\n", "\n", "\\n")[i % 3].join([begin, *private_key("copied"), end])  # one key in three ways to end lines
+        texts[30 + i] = "\n".join([begin, "Proc-Type: 4,ENCRYPTED", f"DEK-Info: AES-128-CBC,AB{i}", "", *private_key(30 + i), end])
+        texts[40 + i] = f"a line {begin} begins a key, {i}"
+    texts[50] = "\n".join([begin, *private_key(50, 20_000), end])
+    docs = spark.createDataFrame([(d, t, f"s{d % 10}", "en") for d, t in texts.items()], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets_scan.scan(docs).collect()}
+    pem = {d: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("pem:")] for d, r in got.items()}
+    for d, t in texts.items():
+        if 20 <= d < 30 or 40 <= d < 50:
+            assert pem[d] == [] and got[d].n_copied == 1, d  # six owners hold the same key, or no key
+        else:
+            body_end = t.index(end) + len(end) if end in t else t.index("\nwithout")
+            assert pem[d] == [(t.index(begin), body_end)] and got[d].n_copied == 0, d
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for doc, text in rows:

@@ -25,8 +25,17 @@ class Kind:
     group: int = 0  # the part that is the secret
     least: int = 1  # characters it has at least; shorter matches are consumed and dropped
     base: bool = True
+    full: str | None = None  # what is scanned for, with the secret as group 1, where the pattern (the SQL has it) falls short of the secret
 
 
+#: A private key's lines up to its END line, else its run of base64 lines; with RFC 1421 headers, and line ends as escapes.
+#: Possessive, so that Java repeats without recursion.
+PEM_FULL = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----((?:(?:\\[nr]|\s)*+(?:Proc-Type|DEK-Info): *+[A-Za-z0-9,-]++){0,4}+"
+    r"(?:[^-]*+(?=-----END )|(?:\\[nr]|\s)*+[A-Za-z0-9+/]{16,}+={0,2}+(?:(?:\\[nr]|\s)++[A-Za-z0-9+/]{32,}+={0,2}+)*+(?:(?:\\[nr]|\s)++[A-Za-z0-9+/]++={1,2}+)?+|))"
+    r"(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+)
+
 # The kinds in the order in which spans of one start are listed. Runs of one character class with a least
 # length are the same spans as all runs without those that are too short.
 KINDS = (
@@ -36,7 +45,7 @@ KINDS = (
     Kind("forge", "gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Kind("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
-    Kind("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", base=False),
+    Kind("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", base=False, full=PEM_FULL),
     Kind("url", r"[a-z][a-z0-9+]{1,14}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", 1, 6, base=False),
 )
 ORDER = {k.name: i for i, k in enumerate(KINDS)}
@@ -45,9 +54,13 @@ SPAN = "struct<start:bigint,ord:int,end:bigint,value:string>"
 
 def _spans(text: Column, kind: Kind) -> Column:
     """All leftmost, non-overlapping matches with their places in code points: the text between matches gives the places."""
-    pattern = F.lit(kind.pattern)
-    whole, values = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(kind.group))
-    between = F.split(text, kind.pattern, -1)
+    sought = kind.full or kind.pattern
+    pattern = F.lit(sought)
+    whole, values = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(1 if kind.full else kind.group))
+    if kind.name == "pem":  # one key is one value, however its lines end; a header without a key is its own value
+        bare = F.transform(values, lambda v: F.regexp_replace(v, r"\\[nr]|\s", ""))
+        values = F.zip_with(whole, bare, lambda m, v: F.when(v == "", m).otherwise(v))
+    between = F.split(text, sought, -1)
     rows = F.arrays_zip(whole.alias("m"), values.alias("v"), F.slice(between, 1, F.size(whole)).alias("b"))
     none = F.array().cast(f"array<{SPAN}>")
 
@@ -58,7 +71,7 @@ def _spans(text: Column, kind: Kind) -> Column:
         return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["v"]) >= kind.least, F.concat(state["found"], own)).otherwise(state["found"]).alias("found"))
 
     found = F.aggregate(rows, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")), step)["found"]
-    return F.when(text.rlike(kind.pattern), found).otherwise(none)
+    return F.when(text.rlike(sought), found).otherwise(none)
 
 
 def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repo: str | tuple[str, ...] = ("source", "lang")) -> DataFrame:
