@@ -189,6 +189,13 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
             assert pem[d] == [(t.index(begin), body_end)] and got[d].n_copied == 0, d
 
 
+def test_credentials_in_urls_have_any_length(spark):
+    urls = [f"https://{'u' * a}:{'Zz' * b}@host/x" for a, b in ((1, 3), (64, 64), (65, 3), (1, 65), (300, 5000))]
+    docs = spark.createDataFrame([(i, f"see {u} there", f"s{i}", "en") for i, u in enumerate([*urls, "https://u:short@host/x", "https://host:8080/x@y"])], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.spans for r in secrets_scan.scan(docs).collect()}
+    assert got == {i: f"url:4:{5 + u.index('@')}" for i, u in enumerate(urls)} | {5: "", 6: ""}
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for doc, text in rows:

@@ -46,7 +46,7 @@ KINDS = (
     Kind("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
     Kind("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", base=False, full=PEM_FULL),
-    Kind("url", r"[a-z][a-z0-9+]{1,14}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", 1, 6, base=False),
+    Kind("url", r"[a-z][a-z0-9+]{1,14}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", 1, 6, base=False, full=r"[a-z][a-z0-9+]{1,14}://[^\s:/@]++:([^\s:/@]{6,}+)@"),
 )
 ORDER = {k.name: i for i, k in enumerate(KINDS)}
 SPAN = "struct<start:bigint,ord:int,end:bigint,value:string>"
