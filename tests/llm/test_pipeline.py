@@ -42,7 +42,7 @@ def test_the_pipeline_takes_messy_rows(spark, sf, messy):
 def test_query_equals_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "pages"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, wanted = QUERIES[name](spark, sf).toPandas(), db.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(wanted.columns) and plain(got) == plain(wanted)

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickframe.llm import chat_trees, url_rules, vantage_trees
+from tickframe.llm.queries import QUERIES
 
 NODES = "tree string, node long, parent long, score double, role string, text string"
 
@@ -146,47 +148,119 @@ def brute_judge(url):
 
 
 def test_listed_rules(spark):
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[0], "x")], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[0], "x")] * 2, "page_id long, url string, host string")
     got = url_rules.judge(pages, url_rules.Rules(())).collect()
-    assert len(got) == len(URLS) + 1
+    assert len(got) == len(URLS) + 2
     for r in got:
         host, path, best = brute_judge(URLS[r.page_id or 0])
         assert (r.host, r.path, r.rule) == (host, path, best and best[1]) and r.verdict == (best[0] if best else "allow")
     assert url_rules.judge(pages.limit(0), url_rules.Rules(())).count() == 0
 
 
-def brute_rules(rows, min_support, min_confidence):
-    """All token sets by counting, with the same pruning."""
+def brute_rules(rows, min_support, min_confidence, min_count=url_rules.MIN_COUNT, alpha=url_rules.ALPHA):
+    """All sets of tokens by counting; tokens that stand in the same URLs count as the first of them."""
     from itertools import combinations
+    from math import ceil, log
+
+    rows = [(t, b) for u, b in rows if b is not None and (t := url_rules.tokens_of(u))]
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, []).append(i)
+    n = len(rows)
+    least = max(min_count, ceil(min_support * n - 1e-9))
+    first = {}
+    for t in sorted(where):
+        if len(where[t]) >= least:
+            first.setdefault(tuple(where[t]), t)
+    of = {t: first[tuple(w)] for t, w in where.items() if tuple(w) in first}
+    counts, both = Counter(), Counter()
+    for tokens, block in rows:
+        items = sorted({of[t] for t in tokens if t in of})
+        for size in range(1, len(items) + 1):
+            for c in combinations(items, size):
+                counts[frozenset(c)] += 1
+                both[frozenset(c), block] += 1
+    labels = Counter(b for _, b in rows)
+    tested = sum(c >= least for c in both.values()) + sum(c >= least for c in labels.values())
+    out = {}
+    for (k, b), c in both.items():
+        share, base = c / counts[k], labels[b] / n
+        if c >= least and share >= min_confidence and share > base:
+            luck = -counts[k] * (share * log(share / base) + (log((1 - share) / (1 - base)) * (1 - share) if share < 1 else 0))
+            if luck <= log(alpha / tested):
+                out[k, b] = share
+    return out, of
+
+
+def brute_verdict(url, every, of):
+    items = {of.get(t, t) for t in url_rules.tokens_of(url)}
+    best = max(((c, len(k), b) for (k, b), c in every.items() if k <= items), default=None)
+    return ("block" if best and best[2] else "allow"), best and best[0]
+
 
-    counts, both, n = {}, {}, 0
-    for url, block in rows:
-        tokens = url_rules.tokens_of(url)
-        if not tokens or block is None:
-            continue
-        n += 1
-        for size in range(1, len(tokens) + 1):
-            for c in combinations(tokens, size):
-                counts[frozenset(c)] = counts.get(frozenset(c), 0) + 1
-                both[frozenset(c), block] = both.get((frozenset(c), block), 0) + 1
-    least = int(np.ceil(max(min_support, 2 / n) * n - 1e-9))
-    return {(k, b): c / counts[k] for (k, b), c in both.items() if c >= least and c / counts[k] >= min_confidence}
-
-
-def test_mined_rules(spark):
+def spoiled_urls():
     r = random.Random(3)
-    rows = [(f"http://{r.choice('ab')}.{r.choice(['bad', 'good'])}.org/{r.choice(['x', 'y'])}/{i}", None) for i in range(300)]
-    rows = [(u, ("bad" in u and "/x/" in u) if i % 10 else None) for i, (u, _) in enumerate(rows)]
-    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), 0.02, 0.6)
-    every = brute_rules(rows, 0.02, 0.6)
+    rows = [(f"http://{r.choice('ab')}.{r.choice(['bad', 'good'])}.org/{r.choice(['x', 'y'])}/{i}?" + "&".join(f"k{j}=1" for j in range(12 * r.randrange(2))), None) for i in range(900)]
+    return [(u, ("bad" in u and "/x/" in u) if i % 10 else None) for i, (u, _) in enumerate(rows)]
+
+
+def test_mined_rules(spark, monkeypatch):
+    rows = spoiled_urls()
+    labelled = spark.createDataFrame(rows, "url string, block boolean").withColumn("items", F.lit("clash"))
+    rules = url_rules.mine(labelled, 0.02, 0.6)
+    every, of = brute_rules(rows, 0.02, 0.6)
     assert rules.rules and all(every[t, b] == pytest.approx(c) for t, b, c in rules.rules)
-    match = rules.matcher()
-    for u, _ in rows:
-        fitting = [(c, b) for (k, b), c in every.items() if k <= set(url_rules.tokens_of(u))]
-        best = max(c for c, _ in fitting)
-        verdict, confidence = match(url_rules.tokens_of(u))
-        assert confidence == pytest.approx(best) and (verdict == "block") in {b for c, b in fitting if c == pytest.approx(best)}
-        assert (verdict == "block") == ("bad" in u and "/x/" in u)
+    assert of["key k11"] == "key k0"  # twelve keys that come together are one item, not 2 ** 12 sets
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    told = {r.page_id: r for r in url_rules.judge(pages, rules, ()).collect()}
+    monkeypatch.setattr(url_rules, "SENT_RULES", 0)
+    joined = {r.page_id: r for r in url_rules.judge(pages, url_rules.mine(labelled, 0.02, 0.6), ()).collect()}
+    for i, (u, _) in enumerate(rows):
+        verdict, confidence = brute_verdict(u, every, of)
+        for got in (told[i], joined[i]):
+            assert got.verdict == verdict == ("block" if "bad" in u and "/x/" in u else "allow") and got.confidence == pytest.approx(confidence)
+
+
+def test_every_part_of_a_url_counts():
+    url = "https://one.two.three.four.five.six.example.com/top/a.averylongextension?" + "&".join(f"q{i}={i}" for i in range(40)) + "#f?z=1"
+    tokens = url_rules.tokens_of(url)
+    assert {"label one", "label com", "domain example.com", "top top", "ends averylongextension", "scheme https"} <= set(tokens)
+    assert {f"key q{i}" for i in range(40)} <= set(tokens) and "key z" not in tokens
+    assert len(url_rules.tokens_of("http://" + "a." * 50_000 + "com/" + "x/" * 100_000)) == 5
+
+
+def test_luck_makes_no_rules(spark):
+    r = random.Random(11)
+    rows = [(f"http://h{r.randrange(30)}.org/{r.randrange(5)}/{i}", r.random() < 0.3) for i in range(3000)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    assert url_rules.mine(labelled).rules == ()
+    assert url_rules.held_out(labelled)[0] == 0
+    hit, right, share, n = url_rules.held_out(spark.createDataFrame(spoiled_urls(), "url string, block boolean"))
+    assert hit == right > 0.8 * share * n > 30
+
+
+def test_rules_of_the_tables(spark, sf):
+    """The whole query against brute force over the pages and their labels."""
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        labels[r.doc_id] = max(labels.get(r.doc_id, False), r.toxic == 1 or r.quality == 0)
+    rows = []
+    for _, u in pages:
+        m = re.match(r"^.*?://[^/?#]*([^?#]*)", u or "", re.S)
+        last = [x for x in (m[1] if m else "").split("/") if x][-1:]
+        number = re.fullmatch(r"(\d{1,18})(\.\w+)?", last[0]) if last else None
+        if number and int(number[1]) in labels:
+            rows.append((u, labels[int(number[1])]))
+    every, of = brute_rules(rows, url_rules.MIN_SUPPORT, url_rules.MIN_CONFIDENCE)
+    got = QUERIES["op10_url_rules"](spark, sf).collect()
+    assert sorted(r.page_id for r in got) == sorted(p for p, _ in pages) and len(rows) > 5
+    urls = dict(pages)
+    for r in got:
+        host, path, best = brute_judge(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, best and best[1])
+        assert r.verdict == (best[0] if best else brute_verdict(urls[r.page_id], every, of)[0])
 
 
 def test_mining_nothing(spark):

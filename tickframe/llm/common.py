@@ -14,6 +14,9 @@ WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 
+#: A key that more than one in so many rows hold counts as hot; there are fewer such keys than this.
+HOT_KEYS = 4_000
+
 
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 bytes, A-Z lower-cased; a null text has none. Lone surrogates cannot occur in Spark strings."""
@@ -21,7 +24,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local folder where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or a local folder where that is unset (tests).
+
+    This application's checkpoints in it go when the driver ends.
+    """
     context = spark.sparkContext
     told = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             told = tempfile.mkdtemp(prefix="tickframe-checkpoints-")
         context.setCheckpointDir(told)
-    return told or context._jsc.sc().getCheckpointDir().get()
+    own = context._jsc.sc().getCheckpointDir().get()  # a folder of this application alone, below the one that was set
+    if getattr(context, "_tickframe_checkpoints", None) != own:
+        context._tickframe_checkpoints = own
+        _remove_at_exit(spark, own)
+    return told or own
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -39,22 +49,54 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing reads any more, such as a round that the next one replaced."""
+    try:
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    except Exception:  # noqa: BLE001 - not a settled frame: there is nothing to delete
+        return
+    _deleter(df.sparkSession, path)()
+
+
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A path for a new table in the shared folder; unless kept, it goes when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not keep:
-        atexit.register(remove, spark, path)
+        _remove_at_exit(spark, path)
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Spark's own file system access, if the application still runs."""
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    except Exception:  # noqa: BLE001 - the JVM may be gone at exit
-        pass
+def _deleter(spark: SparkSession, path: str):
+    """A function that deletes a folder by Spark's own file system access, also after the session was stopped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+
+    def delete() -> None:
+        try:
+            files.delete(target, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone at exit
+            pass
+
+    return delete
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_deleter(spark, path))
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small (one row per key, with the number of big's rows that hold the key in column count) on key.
+
+    Keys that more than one in HOT_KEYS of big's `total` rows hold are broadcast: there are fewer than HOT_KEYS of
+    them, whatever the size. The rest are dealt by key, so no task gets more than that share by one key. big is read
+    twice, so it should be settled or cheap. how: inner or left.
+    """
+    hot = small.filter(F.col(count) * HOT_KEYS > total)
+    few = small.filter(F.col(count) * HOT_KEYS <= total)
+    near = big.join(F.broadcast(hot), key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(few, key, how)
+    return near.unionByName(rest)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

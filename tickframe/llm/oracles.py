@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, secrets_scan
+from . import chat_trees, secrets_scan, url_rules
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -83,7 +83,19 @@ d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT documents.doc_id, k.class_id, coalesce(d.n_links, 0) AS n_links, t.rep AS copy_of, t.n_copies
 FROM documents JOIN t ON t.body = coalesce(text, '') JOIN k ON k.node = t.rep LEFT JOIN d ON d.a = t.rep"""
 
+
+
+def listed_urls() -> str:
+    rules = ", ".join(f"({_quoted(v)}, {_quoted(r)}, {_quoted(r.partition('/')[0])}, {_quoted('/' + r.partition('/')[2])})" for v, r in url_rules.LISTED)
+    return f"""WITH rules(verdict, rule, of, start) AS (VALUES {rules}),
+after AS (SELECT row_number() OVER () AS uid, page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+parts AS (SELECT uid, page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM after),
+fits AS (SELECT uid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY uid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (uid)"""
+
+
 ORACLES: dict[str, str] = {
+    "listed_urls": listed_urls(),
     "op2_chat_trees": chat(),
     "op3_decontaminate": DECONTAMINATION,
     "op5_secrets": secrets(),

@@ -61,6 +61,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.mine(url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op6_vantage_trees, op7_pieces, op8_line_chunks, op9_set_join, op10_url_rules)}
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rule list says of every page, which SQL can express; mined rules decide on the others."""
+    told = url_rules.judge(table(spark, sf_dir, "pages"), url_rules.Rules(()))
+    return told.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_chat_trees, op3_decontaminate, op4_toxicity, op5_secrets, op6_vantage_trees, op7_pieces, op8_line_chunks, op9_set_join, op10_url_rules, listed_urls)}
 
 __all__ = ["ORACLES", "QUERIES"]
