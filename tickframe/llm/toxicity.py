@@ -5,8 +5,9 @@ documents without a label (unlabelled). Its risk is the class-prior-corrected es
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; while the second part is negative the step goes against it, which
 keeps the model from explaining the unlabelled positives away.
 
-Training is bounded: at most MAX_POSITIVE and MAX_UNLABELLED documents (chosen by a hash of their ids) and MAX_FEATURES
-features. The class prior and the counts behind these bounds come from all labels; scoring reads every whole text.
+Only the sample to fit on is bounded: about MAX_POSITIVE and MAX_UNLABELLED rows, the same at every run, chosen by
+hashes of their ids, and of ids and texts where ids repeat. The class prior and the counts behind these bounds come from
+all labels and documents; every feature of the sample's whole texts is considered; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, settle, words_of
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
-MAX_FEATURES = 4_096
 #: A feature takes part if so many positives of the sample hold it.
 LEAST_POSITIVES = 4
 #: ... and if its shares of positives and of unlabelled texts lie so many standard errors apart.
@@ -34,10 +34,11 @@ LEAST_SHARE = 0.5
 THRESHOLD = 0.7
 HELD_OUT_FOLD = 1
 GRAM = 6
-#: Words whose features a Python worker remembers.
+#: Words whose features a Python worker remembers, and features that it counts before it hands the counts on.
 CACHE_WORDS = 200_000
-#: A feature counts as present in a training text if it occurs once in so many words at least.
-RATE = 200
+COUNTED = 500_000
+#: Bits of a hash that sampling compares, so that a sample of a few thousand is not empty at any number of rows.
+BITS = 62
 
 
 def features_of(word: bytes) -> set[bytes]:
@@ -47,7 +48,7 @@ def features_of(word: bytes) -> set[bytes]:
 
 
 class Finder:
-    """Finds the features of texts that a vocabulary holds; remembers those of words."""
+    """Finds the features of texts that a vocabulary holds (None: all features); remembers those of words."""
 
     def __init__(self, vocabulary):
         self.vocabulary, self.known = vocabulary, {}
@@ -61,22 +62,12 @@ class Finder:
         for word, n in Counter(words).items():
             own = self.known.get(word)
             if own is None:
-                own = self.known[word] = tuple(f for f in features_of(word) if f in self.vocabulary)
+                own = self.known[word] = tuple(f for f in features_of(word) if self.vocabulary is None or f in self.vocabulary)
             for f in own:
                 found[f] = found.get(f, 0) + n
         return {f: 100 * n / (100 * n + len(words)) for f, n in found.items()}
 
 
-def present(text: str | None) -> set[bytes]:
-    """The features that occur once in RATE words at least."""
-    words = words_of(text)
-    counts: Counter = Counter()
-    for word, n in Counter(words).items():
-        for f in features_of(word):
-            counts[f] += n
-    return {f for f, n in counts.items() if n * RATE >= len(words)}
-
-
 @dataclass(frozen=True)
 class Model:
     weights: dict[bytes, float]
@@ -94,6 +85,22 @@ class Model:
         return score
 
 
+def nn_pu_step(theta: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk with the logistic loss, and the direction to leave: its gradient, or against that of the second part while it is negative.
+
+    theta: weights and bias. rows, cols, values: the features that documents hold.
+    """
+    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
+    z = theta[-1] + np.bincount(rows, theta[cols] * values, len(positive))
+    sigma = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)  # losses of calling it positive, and negative
+    rest = minus[~positive].sum() / n_u - prior * minus[positive].sum() / n_p
+    risk = prior * plus[positive].sum() / n_p + max(0.0, rest)
+    grad = np.where(positive, -prior * sigma / n_p, sigma / n_u)
+    grad = np.where(positive, prior * (sigma - 1) / n_p, 0.0) + grad if rest >= 0 else -grad
+    return risk, np.append(np.bincount(cols, grad[rows] * values, len(theta) - 1), grad.sum())
+
+
 def nn_pu_fit(features: list[dict[int, float]], positive: np.ndarray, n_features: int, prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk with the logistic loss.
 
@@ -104,32 +111,72 @@ def nn_pu_fit(features: list[dict[int, float]], positive: np.ndarray, n_features
     values = np.array([x for f in features for x in f.values()], np.float64)
     theta, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = math.log(prior / (1 - prior))
-    p, u = positive, ~positive
-    n_p, n_u = max(1, p.sum()), max(1, u.sum())
     for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(rows, theta[cols] * values, len(features))
-        sigma = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        minus = np.logaddexp(0, z)  # loss of calling it negative
-        rest = minus[u].sum() / n_u - prior * minus[p].sum() / n_p
-        grad_rest = np.where(u, sigma / n_u, -prior * sigma / n_p)
-        grad = np.where(p, prior * (sigma - 1) / n_p, 0.0) + grad_rest if rest >= 0 else -grad_rest
-        g = np.append(np.bincount(cols, grad[rows] * values, n_features) + decay * theta[:-1], grad.sum())
+        g = nn_pu_step(theta, rows, cols, values, positive, prior)[1]
+        g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
+def least_hashes(hashed: Column, n: int, most: int) -> Column:
+    """Whether a row belongs to a sample of about `most` of n rows, by its hash: the same at every run and partitioning."""
+    return F.lit(True) if n <= most else hashed.bitwiseAND(F.lit(2**BITS - 1)) < F.lit((most << BITS) // n)
+
+
 def _sample(ids: DataFrame, most: int) -> DataFrame:
-    """About `most` of the ids at most, by their hash: the same at every run and partitioning."""
-    n = ids.count()
-    return ids if n <= most else ids.filter(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {int(1e6 * most / n)}"))
+    return ids.filter(least_hashes(F.xxhash64("doc_id"), ids.count(), most))
+
+
+def _texts(docs: DataFrame, positives: DataFrame, others: DataFrame) -> DataFrame:
+    """positive and text of the rows to fit on: those of a sample of each kind of ids, and of these a sample, where ids repeat."""
+    chosen = _sample(positives, MAX_POSITIVE).withColumn("positive", F.lit(True)).unionByName(_sample(others, MAX_UNLABELLED).withColumn("positive", F.lit(False)))
+    chosen = F.broadcast(settle(chosen))  # about MAX_POSITIVE and MAX_UNLABELLED ids
+    n = {r.positive: r["count"] for r in docs.select("doc_id").join(chosen, "doc_id").groupBy("positive").count().collect()}
+    row = F.xxhash64(F.lit(1), "doc_id", "text")
+    stays = F.when(F.col("positive"), least_hashes(row, n.get(True, 0), MAX_POSITIVE)).otherwise(least_hashes(row, n.get(False, 0), MAX_UNLABELLED))
+    texts = docs.join(chosen, "doc_id").filter(stays).select("positive", "text", F.xxhash64("text").alias("copy"))
+    return settle(texts.dropDuplicates(["positive", "copy"]).select("positive", "text"))  # a text with many copies counts once
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """Per feature of the sample: positives that hold it, and sums of its values and of their squares over positives and unlabelled."""
+    names = ["word", "held", "p", "pp", "u", "uu"]
+
+    def count(batches):
+        sums: dict[bytes, list[float]] = {}
+
+        def told():
+            cols = [list(sums), *map(list, zip(*sums.values(), strict=True))] if sums else [[]] * len(names)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.binary(), *[pa.float64()] * 5], strict=True)], names)
+
+        find = Finder(None)
+        for batch in batches:
+            for positive, text in zip(batch.column("positive").to_pylist(), batch.column("text"), strict=True):
+                for f, x in find(text.as_py()).items():
+                    own = sums.setdefault(f, [0.0] * 5)
+                    if positive:
+                        own[0] += 1
+                        own[1] += x
+                        own[2] += x * x
+                    else:
+                        own[3] += x
+                        own[4] += x * x
+                if len(sums) > COUNTED:
+                    yield told()
+                    sums.clear()
+        yield told()
+
+    rows = texts.mapInArrow(count, "word binary, held double, p double, pp double, u double, uu double")
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labels of folds other than the held-out one.
 
     Labels with a null id or a null toxic value are ignored; an id with several labels counts as toxic if one says so.
-    Without any positive (or any other document) the model gives the prior, or 0, to every text.
+    Without any positive (or any other document) the model gives the prior, or 0, to every text. Null texts count as
+    empty ones; very long texts are read whole, and what they hold by chance weighs little. Equal texts count once.
     """
     learn = F.coalesce(fold_of(F.col("doc_id")) != HELD_OUT_FOLD, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -143,29 +190,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     others = settle(others)
     if others.isEmpty():  # everything is labelled: the labelled mixture is the unlabelled sample
         others = known.select("doc_id")
-    chosen = _sample(known.filter("toxic = 1").select("doc_id"), MAX_POSITIVE).withColumn("positive", F.lit(True))
-    chosen = chosen.unionByName(_sample(others, MAX_UNLABELLED).withColumn("positive", F.lit(False)))
-    # The sample's ids are bounded by the two parameters, so they can go to every executor.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("positive", "text", F.xxhash64("text").alias("copy"))
-    texts = settle(texts.dropDuplicates(["positive", "copy"]).select("positive", "text"))  # a text with many copies counts once
-
-    def count(batches):
-        pos, unl = Counter(), Counter()
-        for batch in batches:
-            for positive, text in zip(batch.column("positive").to_pylist(), batch.column("text"), strict=True):
-                (pos if positive else unl).update(present(text.as_py()))
-        words = list(pos.keys() | unl.keys())
-        yield pa.record_batch([pa.array(words, pa.binary()), pa.array([pos[w] for w in words], pa.int64()), pa.array([unl[w] for w in words], pa.int64())], ["word", "p", "u"])
-
-    counts = texts.mapInArrow(count, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    texts = _texts(docs, known.filter("toxic = 1").select("doc_id"), others)
     sizes = {r.positive: float(r["count"]) for r in texts.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 1.0), sizes.get(False, 1.0)
-    # How far a word's shares of positives and of unlabelled texts lie apart, in standard errors of their difference.
-    pooled = (F.col("p") + F.col("u") + 1.0) / (n_p + n_u + 2.0)
-    apart = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1.0 - pooled) * (1 / n_p + 1 / n_u))
+    # How far a feature's means over positives and over unlabelled texts lie apart, in standard errors of their difference.
+    mean = (F.col("p") + F.col("u")) / (n_p + n_u)
+    spread = (F.col("pp") + F.col("uu") + 1.0) / (n_p + n_u + 2.0) - mean * mean
+    apart = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.greatest(spread, F.lit(1e-12)) * (1 / n_p + 1 / n_u))
     share = prior * (F.col("p") / n_p) / ((F.col("u") + 0.5) / (n_u + 1.0))
-    best = counts.filter(F.col("p") >= LEAST_POSITIVES).withColumn("apart", F.abs(apart)).filter((F.col("apart") >= LEAST_APART) & (share >= LEAST_SHARE)).orderBy(F.desc("apart"), "word").limit(MAX_FEATURES)
-    words = [bytes(r.word) for r in best.collect()]
+    best = _counts(texts).filter(F.col("held") >= LEAST_POSITIVES).filter((F.abs(apart) >= LEAST_APART) & (share >= LEAST_SHARE))
+    # Features of the bounded sample that pass: each is in several of its positives.
+    words = sorted(bytes(r.word) for r in best.select("word").toLocalIterator())
     place = {w: i for i, w in enumerate(words)}
 
     def index(batches):
@@ -174,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [{place[f]: x for f, x in find(t.as_py()).items()} for t in batch.column("text")]
             yield pa.record_batch([batch.column("positive"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))], ["positive", "cols", "xs"])
 
-    sample = texts.mapInArrow(index, "positive boolean, cols array<int>, xs array<double>").toArrow()  # bounded: sample size times MAX_FEATURES
+    sample = texts.mapInArrow(index, "positive boolean, cols array<int>, xs array<double>").toArrow()  # the bounded sample
     features = [dict(zip(c.as_py(), x.as_py(), strict=True)) for c, x in zip(sample.column("cols"), sample.column("xs"), strict=True)]
     positive = np.array(sample.column("positive").to_pylist(), bool)
     if not positive.any() or positive.all():
