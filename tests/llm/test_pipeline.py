@@ -21,7 +21,7 @@ def test_stages(spark, sf, tmp_path):
     clean, lines, single, apart, ids = steps[1:]
     score = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).scorer()
     assert sorted(pairs(clean, "doc_id")) == sorted((d,) for d, t in pairs(docs, "doc_id", "text") if score(t) < toxicity.THRESHOLD)
-    assert sorted(pairs(lines, "doc_id", "text")) == sorted(brute_lines(sorted(pairs(clean, "doc_id", "text"))))
+    assert sorted(pairs(lines, "doc_id", "text")) == sorted(brute_lines(sorted(pairs(clean, "doc_id", "text")), runs=True))
     assert {d for (d,) in pairs(single, "doc_id")} == {c for c, *_ in brute_join(pairs(lines, "doc_id", "text")).values()}
     found = brute_contamination(pairs(single, "doc_id", "text"), pairs(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "text"))
     assert {d for (d,) in pairs(apart, "doc_id")} == {r[0] for r in found if not r[-1]}

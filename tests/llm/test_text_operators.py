@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from llm_helpers import PROSE
@@ -92,7 +93,8 @@ def test_toxicity_on_held_out_rows(spark):
     right = sum((r.doc_id in bad) == bool(r.predicted) for r in held)
     assert right / len(held) > 0.97
     kept = toxicity.remove_toxic(docs, labels)
-    assert kept.columns == docs.columns and 0 < kept.filter("doc_id % 9 = 0").count() + kept.count() < 2 * docs.count()
+    assert kept.columns == docs.columns
+    assert {d for (d,) in pairs(kept, "doc_id")} == {r.doc_id for r in got if not r.predicted}
 
 
 def test_toxicity_uses_no_held_out_label(spark):
@@ -113,6 +115,66 @@ def test_toxicity_of_messy_rows(messy, spark):
     assert toxicity.remove_toxic(messy, labels).columns == messy.columns
 
 
+def brute_risk(theta, features, positive, prior):
+    """The estimate, document by document, and the part that may not be negative."""
+    z = [theta[-1] + sum(theta[c] * x for c, x in f.items()) for f in features]
+    plus, minus = [np.log1p(np.exp(-v)) for v in z], [np.log1p(np.exp(v)) for v in z]
+    p, u = np.nonzero(positive)[0], np.nonzero(~positive)[0]
+    rest = sum(minus[i] for i in u) / len(u) - prior * sum(minus[i] for i in p) / len(p)
+    return prior * sum(plus[i] for i in p) / len(p) + max(0.0, rest), rest
+
+
+@pytest.mark.parametrize("prior, bias, own", [(0.2, 0.3, 0.1), (0.9, -2.0, 4.0)])
+def test_the_risk_and_its_gradient(prior, bias, own):
+    rng = np.random.default_rng(8)
+    positive = np.arange(40) < 15
+    features = [{int(c): float(rng.random()) for c in rng.choice(5, 3, replace=False)} | ({5: 1.0} if p else {}) for p in positive]
+    flat = [(i, c, x) for i, f in enumerate(features) for c, x in f.items()]
+    rows, cols, values = (np.array(x) for x in zip(*flat, strict=True))
+    theta = np.append(0.1 * rng.normal(size=6), bias)
+    theta[5] = own
+    risk, step = toxicity.nn_pu_step(theta, rows, cols, values, positive, prior)
+    wanted, rest = brute_risk(theta, features, positive, prior)
+    assert risk == pytest.approx(wanted) and (rest < 0) == (prior > 0.5)
+    for k in range(7):
+        up, down = theta.copy(), theta.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        part = 0 if rest >= 0 else 1
+        slope = (brute_risk(up, features, positive, prior)[part] - brute_risk(down, features, positive, prior)[part]) / 2e-6
+        assert step[k] == pytest.approx(slope if rest >= 0 else -slope, abs=1e-6)
+
+
+def test_samples_are_bounded_and_never_empty(spark, monkeypatch):
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert 800 < toxicity._sample(ids, 1000).count() < 1200 and toxicity._sample(ids, 10**6).count() == 200_000
+    for n in (10**11, 10**15):  # as many rows as that give a threshold that some hashes are under
+        share = (12_000 << toxicity.BITS) // n / 2**toxicity.BITS
+        assert share * n == pytest.approx(12_000, rel=0.01)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 100)
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    one = ids.filter("doc_id = 7")
+    assert 50 < toxicity._texts(docs, one.limit(0), one).count() < 150  # rows of one id are bounded too
+
+
+def test_toxicity_of_long_texts(spark):
+    docs, labels, bad = toxic_corpus(spark)
+    long = spark.createDataFrame([(9_000_000 + i, " ".join(f"w{k % 300}" for k in range(60_000))) for i in range(2)] + [(9_000_002, " ".join(["vilest insultword w1 w2"] * 15_000))], "doc_id long, text string")
+    model = toxicity.train(docs.unionByName(long), labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(long, model).collect()}
+    assert got == {9_000_000: 0, 9_000_001: 0, 9_000_002: 1}
+
+
+def test_toxicity_on_the_tables(spark):
+    """Held-out accuracy on a table large enough to learn from."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in got if r.toxic]
+    assert len(toxic) > 5 and sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.02 * len(got)
+
+
 def test_the_non_negative_risk_needs_no_negatives():
     rng = np.random.default_rng(1)
     truth = rng.random(2000) < 0.3
@@ -196,50 +258,103 @@ def test_credentials_in_urls_have_any_length(spark):
     assert got == {i: f"url:4:{5 + u.index('@')}" for i, u in enumerate(urls)} | {5: "", 6: ""}
 
 
-def brute_lines(rows):
-    seen, out = set(), []
+def brute_units(lines, runs):
+    """Ranges of lines that may go: content-defined chunks of several lines, and shortest runs of 50 words, by their definitions."""
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    ends = [i + 1 for i in range(len(h)) if ((((h[i - 1] if i else 0) * 0x9E3779B97F4A7C15 + h[i]) % 2**64) >> 32) % 3 == 0]
+    cuts = sorted({0, len(lines), *ends})
+    words = [line_chunks.n_words(x) for x in lines]
+    out = {(a, b) for a, b in zip(cuts, cuts[1:]) if b - a > 1 and sum(words[a:b])}
+    if runs:
+        at = [i for i, n in enumerate(words) if n]
+        before = np.concatenate([[0], np.cumsum([words[i] for i in at])])
+        some = False
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                total = before[j + 1] - before[i]
+                if total >= 50:
+                    some = True
+                    if total - words[at[i]] < 50 or total - words[at[j]] < 50:
+                        out.add((at[i], at[j] + 1))
+                    if total - words[at[i]] >= 50:
+                        break
+        if len(at) > 1 and not some:
+            out.add((at[0], at[-1] + 1))
+    return sorted(out)
+
+
+def brute_lines(rows, runs=False):
+    """rows in the order of places, with texts without what an earlier place holds."""
+    first, out = {}, []
     for doc, text in rows:
         lines = (text or "").split("\n")
-        kept = []
-        for a, b, may_go in line_chunks.chunk_lines(lines):
-            body = "\n".join(lines[a:b])
-            if may_go and body in seen:
-                continue
-            if may_go:
-                seen.add(body)
-            kept += lines[a:b]
-        out.append((doc, None if text is None else "\n".join(kept)))
+        for a, b in brute_units(lines, runs):
+            first.setdefault("\n".join(lines[a:b]), (doc, text, a))
+    for doc, text in rows:
+        lines, goes = (text or "").split("\n"), set()
+        for a, b in brute_units(lines, runs):
+            of, its, at = first["\n".join(lines[a:b])]
+            if (of, its, at) != (doc, text, a):
+                goes.update(range(max(a, at + b - a) if (of, its) == (doc, text) else a, b))
+        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in goes)))
     return out
 
 
-def test_line_dedup(spark, documents):
-    got = dict(pairs(line_chunks.dedup_lines(documents), "doc_id", "text"))
-    wanted = dict(brute_lines(sorted(pairs(documents, "doc_id", "text"))))
-    assert got == wanted and any(len(wanted[d] or "") < len(t or "") for d, t in pairs(documents, "doc_id", "text"))
+@pytest.mark.parametrize("runs", [False, True])
+def test_line_dedup(spark, documents, runs):
+    rows = sorted(pairs(documents, "doc_id", "text"))
+    wanted = dict(brute_lines(rows, runs))
+    assert any(len(wanted[d] or "") < len(t or "") for d, t in rows)
+    assert dict(pairs((line_chunks.whole_dedup if runs else line_chunks.dedup_lines)(documents), "doc_id", "text")) == wanted
+    few = documents.filter("length(text) < 3000")
+    told = {r.doc_id: [x.asDict() for x in r.drop] for r in line_chunks.repeated_lines(few, runs, lambda body: bytes([sum(body) % 5])).collect()}
+    got = {d: line_chunks.without_lines(t, told.get(d)) for d, t in pairs(few, "doc_id", "text")}
+    assert got == dict(brute_lines(sorted(pairs(few, "doc_id", "text")), runs))  # five hashes for all bodies lose and add nothing
+
+
+def test_line_dedup_beyond_the_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(line_chunks, "SENT_HASHES", 0)
+    got = dict(pairs(line_chunks.whole_dedup(documents), "doc_id", "text"))
+    assert got == dict(brute_lines(sorted(pairs(documents, "doc_id", "text")), True))
 
 
-def test_repeated_passages_go_but_short_lines_stay(spark):
+def test_repeated_passages_go_but_single_short_lines_stay(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     run = "\n".join(f"short line number {i} of a passage" for i in range(12))
-    docs = spark.createDataFrame([(i, f"own text {i}\n{passage}\nshared\n{run}\nmore {i}") for i in range(5)], "doc_id long, text string")
-    got = dict(pairs(line_chunks.dedup_lines(docs), "doc_id", "text"))
-    assert passage in got[0] and run in got[0]
+    docs = spark.createDataFrame([(i, f"own text {i}\n{passage}\nmore text {i}\nshared\nend of it {i}\n{run}\nmore {i}") for i in range(5)], "doc_id long, text string")
+    chunks, got = (dict(pairs(f(docs), "doc_id", "text")) for f in (line_chunks.dedup_lines, line_chunks.whole_dedup))
+    assert passage in got[0] and run in got[0] and run in chunks[0]
     for i in range(1, 5):
-        assert passage not in got[i] and f"own text {i}" in got[i] and f"more {i}" in got[i] and got[i].count("short line") < 8
+        assert passage in chunks[i] and chunks[i].count("short line") < 8  # one line is no chunk of several
+        assert got[i] == f"own text {i}\nmore text {i}\nshared\nend of it {i}\nmore {i}"
 
 
 def test_boundaries_survive_shifts():
     lines = [f"line {i * 37 % 101} with some words" for i in range(200)]
-    bodies = lambda x: {tuple(x[a:b]) for a, b, _ in line_chunks.chunk_lines(x)}
+    bodies = lambda x: {tuple(x[a:b]) for a, b in line_chunks.chunk_lines(x)}
     assert len(bodies(lines) - bodies(["new first line", *lines])) <= 2
-
-
-def test_line_dedup_of_messy_rows(messy):
-    got = line_chunks.dedup_lines(messy)
-    assert got.columns == messy.columns and got.count() == messy.count()
-    assert by_text(pairs(got.filter("text is null"), "doc_id")) == by_text([(2,), (None,)])
-    assert line_chunks.dedup_lines(messy.limit(0)).count() == 0
-    assert line_chunks.report(messy).count() == messy.count()
+    for x in ([], ["a"], lines, ["same"] * 500):
+        assert [i for a, b in line_chunks.chunk_lines(x) for i in range(a, b)] == list(range(len(x)))
+    same = next(x for i in range(99) if len(line_chunks.chunk_lines([x := f"x{i}"] * 500)) <= 2)
+    assert line_chunks.chunk_lines([same] * 500)[-1][1] == 500  # however long, no boundary is forced
+
+
+def test_line_dedup_of_messy_rows(messy, spark):
+    for dedup, runs in ((line_chunks.dedup_lines, False), (line_chunks.whole_dedup, True)):
+        got = dedup(messy)
+        assert got.columns == messy.columns and got.count() == messy.count()
+        assert by_text(pairs(got.filter("text is null"), "doc_id")) == by_text([(2,), (None,)])
+        assert dedup(messy.limit(0)).count() == 0
+    # Nulls, ties and repeated rows: the smallest id keeps its lines, null ids come last, rows that repeat id and text go alike.
+    text = "one line of words here\nand a second line of them\nand the last line of three"
+    rows = [(None, text), (None, text), (5, text), (5, text), (5, "before\n" + text), (9, text), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, TEXT string").withColumn("drop", F.lit("clash")).withColumn("body", F.lit(1))
+    got = sorted(map(str, pairs(line_chunks.whole_dedup(docs), "doc_id", "TEXT")))
+    five = Counter(t for d, t in pairs(line_chunks.whole_dedup(docs), "doc_id", "TEXT") if d == 5)
+    assert got.count(str((9, ""))) == 1 and got.count(str((None, ""))) == 2 and got.count(str((None, None))) == 1 and got.count(str((4, ""))) == 1
+    assert five in (Counter({text: 2, "before": 1}), Counter({text: 2, "before\n" + text: 1}), Counter({"": 2, "before\n" + text: 1}))
+    told = line_chunks.report(messy)
+    assert told.count() == messy.count() and by_text(pairs(told.filter("n_lines < n_kept"), "doc_id")) == []
 
 
 def long_repeats(rows, least):
@@ -288,7 +403,7 @@ def test_copies_leave_no_fragments(spark, documents):
     for table in (spark.createDataFrame(rows, "doc_id long, text string"), documents):
         got, seen = dict(pairs(line_chunks.whole_dedup(table), "doc_id", "text")), set()
         for d, t in sorted(pairs(table, "doc_id", "text")):
-            if t in seen and sum(bool(x.strip()) for x in t.split("\n")) > 1 and len(t.split()) >= line_chunks.LEAST_WORDS:
+            if t in seen and sum(bool(x.strip()) for x in t.split("\n")) > 1:
                 assert not got[d].strip(), d
             seen.add(t)
 
@@ -298,9 +413,8 @@ def test_scripts_without_spaces_have_words(spark, first):
     letters = lambda seed, n: "".join(chr(first + (seed * 31 + i * i) % 40) for i in range(n))
     line, run = letters(1, 200), [letters(s, 30) for s in range(2, 11)]
     docs = spark.createDataFrame([(i, "\n".join([f"own {i}", line, f"more {i}", *run, f"end {i}"])) for i in range(3)], "doc_id long, text string")
-    for dedup in (line_chunks.dedup_lines, line_chunks.whole_dedup):
-        got = dict(pairs(dedup(docs), "doc_id", "text"))
-        assert line in got[0] and line not in got[1] and line not in got[2] and "own 1\nmore 1" in got[1]
+    got = dict(pairs(line_chunks.whole_dedup(docs), "doc_id", "text"))
+    assert line in got[0] and line not in got[1] and line not in got[2] and "own 1\nmore 1" in got[1]
     assert all(x in got[0] and x not in got[1] for x in run)
     assert line_chunks.n_words("漢 字") == 2 and line_chunks.n_words("Überlänge, naïve") == 2
 
