@@ -1,5 +1,8 @@
 """Token blocks and SentencePiece pieces against the libraries."""
 
+import random
+import string
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +51,25 @@ def test_pieces_equal_the_library(texts):
             assert own.decode(np.array(x, np.int64)) == t
 
 
+@given(st.text("ab▁thein", min_size=65, max_size=400))
+@settings(max_examples=60, deadline=None)
+def test_long_units_equal_the_library(text):
+    own = pieces.model(PIECES)
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.processor.encode(text)
+
+
+def test_a_megabyte_without_spaces_takes_seconds():
+    own, r = pieces.model(PIECES), random.Random(5)
+    for alphabet in (string.ascii_letters + string.digits + "+/", "abcdefghijklmnopqrstuvwxyz", "e", "漢字仮名交"):
+        text = "".join(r.choices(alphabet, k=1_000_000))
+        began = time.process_time()
+        got = own.encode([text])[0]
+        assert time.process_time() - began < 120  # seconds where the machine is fast; by rounds over all symbols it would be hours
+        part = text[:20_000]
+        assert np.frombuffer(own.encode([part])[0], "<u4").tolist() == own.processor.encode(part)
+        assert own.decode(np.frombuffer(got, "<u4")) == text
+
+
 def check_table(rows, docs):
     tokenizer = Tokenizer.from_file(WORDS)
     found = sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.ids_crc32) for r in rows)

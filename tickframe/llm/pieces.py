@@ -2,9 +2,11 @@
 
 The distinct units of a batch (runs of spaces with what follows them; no piece reaches over their ends) are joined to
 one text. A suffix array over it, sorted as far as the longest piece, gives every piece's occurrences as a range found
-by binary search. The occurrences are edges from place to place; sorted by position, they say for any two neighbouring
-symbols whether their union is a piece. Relaxing starts from single characters and, in every unit at once, joins the
-pair whose union has the best score (the leftmost of equals), until no union is a piece: that is the model's own order.
+by binary search. The occurrences are edges from place to place, sorted by position. Where no edge covers a border
+between two characters nothing can join across it, so it cuts its unit into segments. Relaxing starts from single
+characters and joins, in every segment at once, the pair whose union has the best score (the leftmost of equals), until
+no union is a piece: that is the model's own order. Segments longer than LONG take the same steps from a heap, so time
+grows no faster than n log n with a unit's length.
 
 Characters that are no piece become their bytes' pieces, or the unknown piece where the model has none.
 """
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 from .token_blocks import text_batches
 
 SPACE = "▁"
-#: Characters of distinct units that one suffix array covers, and units a Python worker remembers within a task.
+#: Characters of a batch's distinct units that one suffix array covers; a longer unit has one of its own.
 INDEX_CHARS = 350_000
-CACHE_UNITS = 250_000
+#: Characters of a segment from which on its pairs are kept in a heap.
+LONG = 64
 
 
 class PieceModel:
@@ -58,7 +63,6 @@ class PieceModel:
         self.singles = np.full(int(self.chars[alone, 0].max(initial=0)) + 2, -1, np.int64)
         self.singles[self.chars[alone, 0]] = self.ids[alone]
         self.raw = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
-        self.known: dict[str, bytes] = {}
         self._newline = np.array(self._fallback("\n"), "<u4").tobytes()
 
     # Encoding
@@ -66,20 +70,18 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [UNITS(self.processor.normalize(t)) if t else [] for t in texts]
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        self.known["\n"] = self._newline
-        missing = sorted({u for units in split for u in units} - self.known.keys())
+        found = {"\n": self._newline}
+        units = sorted(set().union(*split) - found.keys())
         first, size = 0, 0
-        for at, unit in enumerate(missing):
+        for at, unit in enumerate(units):
             size += len(unit) + 1
-            if size >= INDEX_CHARS or at + 1 == len(missing):
-                self._learn(missing[first : at + 1])
+            if size >= INDEX_CHARS or at + 1 == len(units):
+                self._match(units[first : at + 1], found)
                 first, size = at + 1, 0
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+        get = found.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
-    def _learn(self, units: list[str]) -> None:
+    def _match(self, units: list[str], found: dict[str, bytes]) -> None:
         # No unit but the line end alone holds a line end, so it can stand between units: as 0, with all else one up.
         text = np.frombuffer("\n".join([*units, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
         text[text == ord("\n") + 1] = 0
@@ -95,10 +97,10 @@ class PieceModel:
         before = 0
         for unit, cut in zip(units, cuts.tolist(), strict=True):
             if odd[cut] == odd[before]:
-                self.known[unit] = plain[4 * before : 4 * cut]
+                found[unit] = plain[4 * before : 4 * cut]
             else:
                 row = [x for i, s in zip(ids[before:cut].tolist(), starts[before:cut].tolist(), strict=True) for x in ([i] if i >= 0 else self._fallback(chr(text[s] - 1)))]
-                self.known[unit] = np.array(row, "<u4").tobytes()
+                found[unit] = np.array(row, "<u4").tobytes()
             before = cut
 
     def _fallback(self, char: str) -> list[int]:
@@ -162,42 +164,98 @@ class PieceModel:
 
     def _relax(self, text: np.ndarray, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the symbols when no neighbours join to a piece any more."""
+        width, n = self.longest + 1, len(text)
+        at = keys // width
+        covered = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + keys % width - 1, minlength=n + 1))  # the border after each place
         starts = np.nonzero(text)[0]
         ends = starts + 1
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != ends[:-1]) | (covered[starts[:-1]] <= 0)
+        segment = np.cumsum(new) - 1
+        firsts = np.nonzero(new)[0]
+        sizes = np.diff(np.append(firsts, len(starts)))
+        done: list[tuple[np.ndarray, np.ndarray]] = [(starts[:0], ends[:0])]
+        for i in np.nonzero(sizes > LONG)[0].tolist():
+            done.append(self._relax_long(int(starts[firsts[i]]), int(sizes[i]), keys, which))
+        stay = (sizes > 1) & (sizes <= LONG)
+        single = (sizes == 1)[segment]
+        done.append((starts[single], ends[single]))
+        starts, ends, segment = (x[stay[segment]] for x in (starts, ends, segment))
         none = np.iinfo(np.int64).max
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(starts):
             new = np.ones(len(starts), bool)
-            new[1:] = starts[1:] != ends[:-1]  # a unit begins
+            new[1:] = segment[1:] != segment[:-1]
             unit = np.cumsum(new) - 1
-            # Rank of joining each symbol with the next one of its unit.
+            # Rank of joining each symbol with the next one of its segment.
             rank = np.full(len(starts), none)
             length = np.zeros(len(starts), np.int64)
             length[:-1] = ends[1:] - starts[:-1]
             can = np.zeros(len(starts), bool)
             can[:-1] = ~new[1:] & (length[:-1] <= self.longest)
             at = np.nonzero(can)[0]
-            key = starts[at] * (self.longest + 1) + length[at]
-            place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[place] == key if len(keys) else np.zeros(len(at), bool)
-            rank[at[hit]] = self.ranks[which[place[hit]]]
+            rank[at] = self._ranks(starts[at] * width + length[at], keys, which, none)
             firsts = np.nonzero(new)[0]
             best = np.minimum.reduceat(rank, firsts)
             live = best < none
             over = ~live[unit]
             done.append((starts[over], ends[over]))
             chosen = np.nonzero((rank == best[unit]) & ~over)[0]
-            chosen = chosen[np.unique(unit[chosen], return_index=True)[1]]  # the leftmost of each unit
+            chosen = chosen[np.unique(unit[chosen], return_index=True)[1]]  # the leftmost of each segment
             ends[chosen] = ends[chosen + 1]
             stay = ~over
             stay[chosen + 1] = False
-            starts, ends = starts[stay], ends[stay]
-        if not done:
-            return starts, ends
+            starts, ends, segment = starts[stay], ends[stay], segment[stay]
         starts, ends = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(starts)
         return starts[order], ends[order]
 
+    def _ranks(self, wanted: np.ndarray, keys: np.ndarray, which: np.ndarray, none: int) -> np.ndarray:
+        """The ranks of the edges with these keys; none where there is no such edge."""
+        if not len(keys):
+            return np.full(len(wanted), none)
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[place] == wanted, self.ranks[which[place]], none)
+
+    def _relax_long(self, first: int, n: int, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_relax for the n characters from first on, which are one segment: pairs in a heap by rank and place."""
+        width = self.longest + 1
+        lo, hi = np.searchsorted(keys, [first * width, (first + n) * width])
+        own, ranks = memoryview(np.ascontiguousarray(keys[lo:hi] - first * width)), memoryview(np.ascontiguousarray(self.ranks[which[lo:hi]]))
+        gone, none = -2, -1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = self._ranks((first + np.arange(n)) * width + 2, keys, which, none).tolist()  # rank of joining a symbol with the next
+        pair[-1] = none
+        heap = [r * n + p for p, r in enumerate(pair) if r >= 0]
+        heapify(heap)
+
+        def look(p: int, end: int) -> None:
+            """Renew the pair of p, which would reach up to end."""
+            if end - p <= width - 1:
+                key = p * width + end - p
+                at = bisect_left(own, key)
+                if at < len(own) and own[at] == key:
+                    pair[p] = ranks[at]
+                    heappush(heap, ranks[at] * n + p)
+                    return
+            pair[p] = none
+
+        while heap:
+            rank, p = divmod(heappop(heap), n)
+            if pair[p] != rank:
+                continue
+            q = after[p]
+            end = after[p] = after[q]
+            pair[q] = gone
+            if end < n:
+                before[end] = p
+                look(p, after[end])
+            else:
+                pair[p] = none
+            if before[p] >= 0:
+                look(before[p], end)
+        starts = np.array([p for p, r in enumerate(pair) if r != gone], np.int64)
+        return starts + first, np.append(starts[1:], n) + first
+
     # Decoding
 
     def decode(self, ids: np.ndarray) -> str:
@@ -220,7 +278,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """For each row of docs: doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), exact, ids.
 
     exact says whether decoding the ids gives the text back. Null texts count as empty and give no ids. Repeated rows
-    give repeated rows; other columns are ignored. Nothing is shuffled.
+    give repeated rows; other columns are ignored. Texts of any length are encoded whole, with spaces or without, in time
+    about in proportion. Nothing is shuffled, and nothing is kept from one batch to the next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -239,7 +298,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_ids", "ids_crc32", "exact", "ids"],
                 )
-        pieces.known.clear()  # Spark keeps the worker for other stages, which need the memory
 
     return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids array<int>")
 
