@@ -107,11 +107,59 @@ def test_nearest_is_exact_at_factor_one(spark, shard_rows):
     ids = list(range(0, 1200, 2))
     base = vantage_trees.usable(vectors(spark, x, ids))
     got = {}
-    for r in vantage_trees.nearest(base, base.filter("id % 20 = 0"), 20, 1.0, shard_rows).orderBy("rank").collect():
+    for r in vantage_trees.nearest(base, F.col("id") % 20 == 0, 20, 1.0, shard_rows).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute_nearest(x, ids, [i for i in ids if i % 20 == 0], 20)
 
 
+def test_rows_that_repeat_are_candidates(spark):
+    base = vantage_trees.usable(vectors(spark, np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.5, 0.1]]), [0, 0, 3, 4]))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vantage_trees.nearest(base, F.col("id") == 0).collect())
+    assert got == sorted([(0, 1, 0, 1.0), (0, 2, 3, 1.0), (0, 3, 4, 0.5)] * 2)
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1e200, -1e200]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (20, [1e-200, 1e-200]), (40, [3.0, 4.0])]
+    base = vantage_trees.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in vantage_trees.nearest(base, F.col("id") % 20 == 0, 3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    near = lambda x: pytest.approx(x, rel=1e-12, abs=0)
+    assert got[40] == [(0, near(7e200)), (3, 11.0), (20, near(7e-200))] and got[20][:2] == [(0, near(2.0)), (40, near(7e-200))]
+    assert got[0][:2] == [(40, near(7e200)), (3, near(3e200))] and len(got[0]) == 3
+
+
+def clustered(n=3000, dims=16, centres=30, seed=6):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dims))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    return c[np.arange(n) % centres] + rng.normal(size=(n, dims)) * 0.02
+
+
+def test_trees_prune_where_vectors_cluster():
+    x = clustered()
+    scale = 2.0 ** np.floor(np.log2(np.abs(x).max()))
+    largest = np.sqrt(((x / scale) ** 2).sum(axis=1)).max()
+    tree = vantage_trees.Tree(x, np.arange(len(x)), np.arange(len(x)), 20, scale, largest)
+    asks = np.arange(0, len(x), 20)
+    q, scores, ids = tree.search(x[asks], asks, 1.0)
+    assert tree.scored < 0.5 * len(x) * len(asks)
+    wanted = brute_nearest(x.astype(np.float32), list(range(len(x))), asks[:5].tolist(), 20)
+    own = vantage_trees.Tree(x.astype(np.float32).astype(float), np.arange(len(x)), np.arange(len(x)), 20, scale, largest)
+    q, scores, ids = own.search(x[asks[:5]].astype(np.float32).astype(float), asks[:5], 1.0)
+    assert {int(asks[i]): list(zip(ids[q == i].tolist(), scores[q == i].tolist())) for i in range(5)} == wanted
+
+
+@pytest.mark.parametrize("shard_rows", [200, 64])
+def test_cells_that_are_skipped_lose_nothing(spark, shard_rows):
+    x = clustered(1200)
+    base = vantage_trees.usable(vectors(spark, x))
+    got = {}
+    for r in vantage_trees.nearest(base, F.col("id") % 20 == 0, 20, 1.0, shard_rows).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_nearest(x, list(range(len(x))), list(range(0, len(x), 20)), 20)
+
+
 def test_a_larger_factor_trades_recall_for_pruning(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 16)) * 4
@@ -119,7 +167,7 @@ def test_a_larger_factor_trades_recall_for_pruning(spark):
     base = vantage_trees.usable(vectors(spark, x))
     wanted = brute_nearest(x, list(range(len(x))), list(range(0, len(x), 20)), 10)
     found = {}
-    for r in vantage_trees.nearest(base, base.filter("id % 20 = 0"), 10, 1.5).collect():
+    for r in vantage_trees.nearest(base, F.col("id") % 20 == 0, 10, 1.5).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(found[q] & {i for i, _ in w}) / 10 for q, w in wanted.items()])
     assert recall >= 0.9
@@ -128,9 +176,9 @@ def test_a_larger_factor_trades_recall_for_pruning(spark):
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     base = vantage_trees.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vantage_trees.nearest(base, base.filter("id % 20 = 0"), 20).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 7, 1.0), (0, 2, 20, 0.5), (20, 1, 7, 1.0), (20, 2, 0, 0.5)]
-    assert vantage_trees.nearest(base.limit(0), base.limit(0)).count() == 0
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vantage_trees.nearest(base, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 0.5), (20, 1, 7, 1.0), (20, 2, 7, 1.0), (20, 3, 0, 0.5)]
+    assert vantage_trees.nearest(base.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
 URLS = ["HTTP://WWW.Example.COM/en/x?q=1#f", "https://a.net/es/", "https://a.net", "http://b.net/fr/1.html", "no scheme", None, "", "://", "http://example.com/en/", "http://sub.example.com/EN/", "x://h?p=/en/", "http://com/a", "ftp://host.org:80/p/q.tar?a=1&b=2"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_trees, decontaminate, line_chunks, pieces, secrets_scan, set_join, token_blocks, toxicity, url_rules, vantage_trees
 from .common import table
@@ -38,7 +39,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vantage_trees.usable(table(spark, sf_dir, "embeddings"))
-    return vantage_trees.nearest(vectors, vectors.filter("id % 20 = 0"))
+    return vantage_trees.nearest(vectors, F.col("id") % 20 == 0)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
