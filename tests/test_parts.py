@@ -2,6 +2,7 @@
 
 import random
 from datetime import timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 
 from helpers import T0, bars, values
 from tickframe import performance, security
-from tickframe.errors import InvalidDataFormat, InvalidParams, StreamStateError, ValidationError
+from tickframe.errors import InsufficientData, InvalidDataFormat, InvalidParams, StreamStateError, ValidationError
 from tickframe.operators import REGISTRY, available, calculate, info, quality
 from tickframe.params import ParamMeta, resolve_period, validate_params
-from tickframe.plans.pipeline import Pipeline, latest, merge
-from tickframe.sources.bars import canonicalize, stream_bars
-from tickframe.streaming.incremental import Stream, stream_indicators
+from tickframe.plans.pipeline import Pipeline, aggregate_metrics, latest, merge
+from tickframe.sources.bars import all_decimals, all_numbers, canonicalize, from_rows, stream_bars, validate_volumes
+from tickframe.streaming.incremental import PipelineStream, Stream, compose_streams, init_stream, stream_indicators, stream_metrics, update_stream
 
 
 def walk(n, seed=1):
@@ -111,6 +112,8 @@ def test_structured_streaming(spark, tmp_path):
         q = stream_indicators(stream, [("fast", "sma", {"period": 5}), ("bands", "bollinger_bands", {"period": 10})]).writeStream.format("parquet")
         q = q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
+        told = stream_metrics(q)
+        assert told["rows"] > 0 and told["batches"] >= 1 and told["rows_a_second"] > 0
 
     run()
     df.filter("seq >= 25").coalesce(1).write.mode("append").parquet(source)
@@ -152,13 +155,91 @@ def test_wide_pipeline_equals_single_indicators(spark):
     p = Pipeline()
     for name in REGISTRY:
         p = p.add_stage(name, name)
-    wide = p.run_wide(df)
+    wide = {r.ts: r for r in p.run_wide(df).collect()}
     for name, indicator in REGISTRY.items():
+        single = {r.ts: r for r in calculate(name, df).collect()}
         for field in indicator.fields:
-            single = {r.ts: r[field] for r in calculate(name, df).collect()}
-            fused = {r.ts: r[f"{name}_{field}"] for r in wide.collect() if r.ts in single}
-            assert fused == single, (name, field)
-        break  # one collect of the wide plan is enough for the first; the oracle test covers the rest
+            assert {t: wide[t][f"{name}_{field}"] for t in single} == {t: r[field] for t, r in single.items()}, (name, field)
+            assert all(r[f"{name}_{field}"] is None for t, r in wide.items() if t not in single)
+
+
+def test_execution_of_a_pipeline(spark):
+    df = bars(spark, walk(40)).drop("volume")
+    p = Pipeline().add_stage("fast", "sma", period=5).add_stage("flow", "obv").add_stage("on_flow", "ema", reads="flow", period=3).add_dependency("on_flow", "flow")
+    with pytest.raises(InvalidDataFormat):
+        p.execute(df)
+    done = p.configure(error_handling="continue_on_error").execute(df)
+    assert set(done.errors) == {"flow", "on_flow"} and done.result("fast").count() == 36
+    told = done.metrics()
+    assert told["rows"] == 40 and told["stage_rows"] == {"fast": 36} and told["error_count"] == 2 and told["processing_seconds"] > 0
+    assert aggregate_metrics([told, told])["rows"] == 80 and aggregate_metrics([told, told])["error_count"] == 4
+    with pytest.raises(InvalidParams):
+        done.result("flow")
+    with pytest.raises(InsufficientData):
+        Pipeline().add_stage("long", "sma", period=50).execute(df, strict=True)
+    assert Pipeline().add_stage("long", "sma", period=50).configure(error_handling="continue_on_error").execute(df, strict=True).wide.count() == 40
+    for bad in ({"error_handling": "hope"}, {"speed": "high"}):
+        with pytest.raises(InvalidParams):
+            p.configure(**bad)
+
+
+def test_a_pipeline_over_a_stream(spark):
+    rows = walk(60)
+    p = Pipeline().add_stage("fast", "sma", period=5).add_stage("slow", "sma", reads="fast", period=4).add_stage("bands", "bollinger_bands").build()
+    wide = {r.ts: r for r in p.run_wide(bars(spark, rows)).collect()}
+    stream = PipelineStream(p)
+    for i, (o, h, lo, c, v) in enumerate(rows):
+        at = T0 + i * timedelta(minutes=1)
+        if i == 30:
+            stream = PipelineStream(p).load(stream.snapshot())
+        found = stream.update({"ts": at, "open": o, "high": h, "low": lo, "close": c, "volume": v})
+        for column, value in (("fast_value", found.get("fast", {}).get("value")), ("slow_value", found.get("slow", {}).get("value")), ("bands_upper_band", found.get("bands", {}).get("upper_band"))):
+            assert (value is None and wide[at][column] is None) or value == pytest.approx(wide[at][column], abs=1e-4)  # a read result has four decimals in batch
+    assert stream.metrics["executions"] == 30 and stream.metrics["error_count"] == 0
+    with pytest.raises(StreamStateError):
+        stream.load(PipelineStream(Pipeline().add_stage("other", "sma")).snapshot())
+
+
+def test_failing_stages_of_a_stream():
+    p = Pipeline().add_stage("fast", "sma", period=2).add_stage("flow", "obv")
+    strict, lenient = PipelineStream(p), PipelineStream(p.configure(error_handling="continue_on_error"))
+    before = strict.snapshot()
+    with pytest.raises(StreamStateError):
+        strict.update({"close": 1})
+    assert strict.snapshot() == before and strict.metrics["error_count"] == 1
+    assert lenient.update({"close": 1}) == {} and lenient.update({"close": 3}) == {"fast": {"value": 2.0}} and lenient.metrics["error_count"] == 2
+
+
+def test_composed_streams_and_streams_of_a_category():
+    both = compose_streams(("sma", {"period": 2}), [("sma", {"period": 2}), ("roc", {"period": 1})])
+    got = [both.update({"close": c}) for c in (1, 3, 5, 7)]
+    assert got[0] == {} and got[1] == {"primary": {"value": 2.0}} and got[2]["dependent_0"]["value"] == 3.0 and got[2]["dependent_1"]["value"] == 100.0
+    same = compose_streams(("sma", {"period": 2}), [("ema", {"period": 1})], reads=False)
+    assert same.update({"close": 4}) == {"dependent_0": {"value": 4.0}}
+    stream = init_stream("trend", "sma", period=2)
+    after, found = update_stream(stream, {"close": 1})
+    assert found is None and update_stream(after, {"close": 3})[1] == {"value": 2.0} and stream.s == {}
+    with pytest.raises(InvalidParams):
+        init_stream("volume", "sma")
+
+
+def test_bars_from_python_values(spark):
+    assert values(calculate("sma", from_rows(spark, [1, 2, 3]), period=2)) == [1.5, 2.5]
+    told = from_rows(spark, [(1, 3, 1, 2, 10), {"ts": T0, "open": 1, "high": 2, "low": 1, "close": 2, "volume": 5, "symbol": "x"}])
+    assert told.columns == ["symbol", "ts", "seq", "open", "high", "low", "close", "volume"] and told.count() == 2
+    with pytest.raises(InsufficientData):
+        from_rows(spark, [])
+    for bad in (["x"], [{"open": 1}], [(1, 2)]):
+        with pytest.raises(InvalidDataFormat):
+            from_rows(spark, bad)
+    assert all_decimals(told, "open", "close") and not all_decimals(told, "volume") and all_numbers(told, "open", "volume") and not all_numbers(told)
+    validate_volumes(told)
+    validate_volumes(told.limit(0))
+    with pytest.raises(InvalidDataFormat):
+        validate_volumes(told.drop("volume"))
+    for bad in (F.lit(-1), F.lit(None).cast("long"), F.lit(1.5), F.lit("many")):
+        with pytest.raises(ValidationError):
+            validate_volumes(told.withColumn("volume", bad))
 
 
 def test_quality(spark):
@@ -203,7 +284,7 @@ def test_limits(spark):
     assert security.sanitize_string("  <b>javascript:x${y}</b> ") == "bx/b"
     got = spark.createDataFrame([("  <b>javascript:x${y}</b> ",)], "t string").select(security.sanitize_column(F.col("t")).alias("s"), security.dangerous_column(F.col("t")).alias("d")).first()
     assert (got.s, got.d) == ("bx/b", True)
-    for bad in ("../x", 1e21, {"__proto__": 1}, ["eval(1)"]):
+    for bad in ("../x", 1e21, {"__proto__": 1}, ["eval(1)"], float("nan"), float("-inf"), Decimal("NaN"), Decimal("Infinity"), Decimal("1e30"), {"a": [float("nan")]}, ["x" * 900] * 70_000):
         with pytest.raises(ValidationError):
             security.validate_input(bad)
     for bad in ({"period": 1001}, {"multiplier": 11}, {"constructor": 1}):
@@ -211,6 +292,11 @@ def test_limits(spark):
             security.validate_parameters(bad)
     flagged = security.flag_bars(bars(spark, [("1", "2", "1", "2", 5), ("1", "1", "1", "2", 5), ("0", "1", "0", "1", 5)]), T0).orderBy("seq").collect()
     assert [r.unsafe for r in flagged] == [None, "range", "price"]
+    security.validate_input({"a": [1, 2.5, Decimal("3")], "b": True, "c": "plain"})
+    security.check_bars(bars(spark, [("1", "2", "1", "2", 5)] * 3), T0, 3)
+    for bad, most in (([("1", "2", "1", "2", 5)] * 4, 3), ([("1", "1", "1", "2", 5)], 3)):
+        with pytest.raises(ValidationError):
+            security.check_bars(bars(spark, bad), T0, most)
     clock = iter([0, 1, 2, 70]).__next__
     limit = security.RateLimit(2, 60, clock)
     assert [limit.allow("a") for _ in range(4)] == [True, True, False, True]
@@ -218,6 +304,16 @@ def test_limits(spark):
 
 def test_advice(spark):
     result = performance.benchmark_indicator("sma", bars(spark, [1, 2, 3]), 1, period=2)
-    assert result.rows == 3 and result.average_us > 0
+    assert result.rows == 3 and result.average_us > 0 and result.memory_bytes > 0
+    told = performance.benchmark_pipeline(Pipeline().add_stage("a", "sma", period=2), [bars(spark, [1, 2, 3]), bars(spark, [1, 2])], 1, memory=True)
+    assert told.dataset_sizes == (3, 2) and told.stages == 1 and len(told.runs) == 2 and told.rows_a_second > 0 and told.memory_bytes >= 0
+    profile = performance.memory_profile(spark, lambda: 7)
+    assert profile.result == 7 and profile.peak >= profile.initial > 0 and profile.collections >= 1 and profile.delta == profile.final - profile.initial
+    with pytest.raises(InvalidParams):
+        performance.memory_profile(spark, 7)
+    kept = performance.enable_caching(bars(spark, [1, 2]))
+    assert performance.cache_stats(kept)["cached"]
+    performance.clear_caches(spark)
+    assert not performance.cache_stats(performance.disable_caching(kept))["cached"]
     slow = performance.Benchmark("x", 10, 1, 2e5, 1, 1, 10**6)
     assert [a["type"] for a in performance.advise([slow, slow])] == ["memory", "cpu", "caching"]

@@ -44,11 +44,3 @@ class ValidationError(TickframeError):
 
 def insufficient_data(required: int, provided: int) -> InsufficientData:
     return InsufficientData(f"Insufficient data: required {required}, got {provided}", required=required, provided=provided)
-
-
-def invalid_period(value) -> InvalidParams:
-    return InvalidParams(f"Period must be a positive integer, got {value!r}", param="period", value=value, expected="positive integer")
-
-
-def negative_price(field: str, value) -> ValidationError:
-    return ValidationError(f"{field} must not be negative, got {value}", field=field, value=value, constraint="non-negative")

@@ -82,9 +82,24 @@ def direction(value: Column) -> Column:
     return F.when(value > 0, "bullish").when(value < 0, "bearish").otherwise("neutral")
 
 
-def forward_fill(value: Column, default: float = 0) -> Column:
-    """The last value that is not null; before the first one, the default."""
-    return F.coalesce(F.last(value, ignorenulls=True).over(running()), F.lit(default))
+def forward_fill(value: Column, default: float = 0, order: tuple[str, ...] = ORDER) -> Column:
+    """The last value that is not null, in the order of some columns; before the first one, the default."""
+    rows = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(value, ignorenulls=True).over(rows), F.lit(default))
+
+
+def volume_as_decimal() -> Column:
+    return F.col("volume").cast("decimal(20,0)")
+
+
+def round_to(value: Column, places: int = 2) -> Column:
+    """value rounded half up."""
+    return F.round(value, places)
+
+
+def correlation(bars: DataFrame, a: str, b: str) -> DataFrame:
+    """symbol, correlation: Pearson's coefficient of two columns; null for fewer than two rows or a column without spread."""
+    return bars.groupBy("symbol").agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation"))
 
 
 def filter_zero_volume(bars: DataFrame) -> DataFrame:
@@ -94,14 +109,3 @@ def filter_zero_volume(bars: DataFrame) -> DataFrame:
 def has_volume(bars: DataFrame) -> DataFrame:
     """symbol, has_volume."""
     return bars.groupBy("symbol").agg(F.coalesce(F.bool_or(F.col("volume") > 0), F.lit(False)).alias("has_volume"))
-
-
-def statistics(bars: DataFrame, field: str = "close") -> DataFrame:
-    """Per symbol: mean, sample variance and standard deviation (0 for fewer than two values), median, median absolute deviation."""
-    x = F.col(field).cast("double")
-    median = bars.groupBy("symbol").agg(F.median(x).alias("median"))
-    joined = bars.select("symbol", x.alias("x")).join(median, "symbol")
-    return joined.groupBy("symbol").agg(
-        F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.var_samp("x"), F.lit(0.0)), 6).alias("variance"),
-        F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 6).alias("standard_deviation"), F.round(F.first("median"), 6).alias("median"), F.round(F.median(F.abs(F.col("x") - F.col("median"))), 6).alias("mad"),
-    )

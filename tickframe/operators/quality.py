@@ -39,6 +39,20 @@ def price_rule() -> Column:
     return out
 
 
+def _beside(bars: DataFrame, told: DataFrame) -> DataFrame:
+    """bars with the columns of told (one row per symbol) beside them; Spark decides from its size how to join."""
+    told = told.withColumnRenamed("symbol", "__s")
+    return bars.join(told, F.col("symbol").eqNullSafe(F.col("__s")), "left").drop("__s")
+
+
+def middle(values: DataFrame, name: str) -> DataFrame:
+    """symbol and the median of x, by rank: a long series is sorted with spilling and never held in one row."""
+    counted = _beside(values.filter("x is not null"), values.groupBy("symbol").agg(F.count("x").alias("__n")))
+    ranked = counted.withColumn("i", F.row_number().over(_whole().orderBy("x")))
+    half = (F.col("__n") + 1) / 2
+    return ranked.groupBy("symbol").agg(F.avg(F.when((F.col("i") == F.floor(half)) | (F.col("i") == F.ceil(half)), F.col("x"))).alias(name))
+
+
 def quartile_bounds(bars: DataFrame, field: str = "close") -> DataFrame:
     """symbol, q1, q3, n: the values at the places trunc(n / 4) and trunc(3 n / 4) of the sorted ones, counted from 0.
 
@@ -46,7 +60,7 @@ def quartile_bounds(bars: DataFrame, field: str = "close") -> DataFrame:
     """
     x = F.col(field).cast("double")
     ranked = bars.select("symbol", x.alias("x")).filter("x is not null")
-    ranked = ranked.withColumn("i", F.row_number().over(_whole().orderBy("x"))).withColumn("n", F.count("*").over(_whole()))
+    ranked = _beside(ranked, ranked.groupBy("symbol").agg(F.count("*").alias("n"))).withColumn("i", F.row_number().over(_whole().orderBy("x")))
     places = [F.max(F.when(F.col("i") == F.floor(F.col("n") * q) + 1, F.col("x"))).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))]
     return ranked.groupBy("symbol").agg(*places, F.max("n").alias("n"))
 
@@ -67,9 +81,9 @@ def with_outlier_flag(bars: DataFrame, method: str = "iqr", field: str = "close"
         return joined.withColumn(flag, F.coalesce(out, F.lit(False))).drop("__s", "q1", "q3", "__n")
     if method in ("zscore", "modified_zscore"):
         limit = MODIFIED_Z_THRESHOLD if method == "modified_zscore" else Z_THRESHOLD if threshold is None else threshold
-        far = F.abs(x - F.avg(x).over(_whole())) > F.lit(float(limit)) * F.stddev_pop(x).over(_whole())
-        enough = (F.count(x).over(_whole()) >= 3) & (F.stddev_pop(x).over(_whole()) > 0)
-        return bars.withColumn(flag, F.coalesce(enough & far, F.lit(False)))
+        told = bars.groupBy("symbol").agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__sd"), F.count(x).alias("__n"))
+        far = (F.col("__n") >= 3) & (F.col("__sd") > 0) & (F.abs(x - F.col("__m")) > F.lit(float(limit)) * F.col("__sd"))
+        return _beside(bars, told).withColumn(flag, F.coalesce(far, F.lit(False))).drop("__m", "__sd", "__n")
     if method == "isolation_forest":
         return bars.withColumn(flag, F.lit(False))
     raise InvalidParams(f"Unknown outlier method {method!r}", param="method", value=method, expected="iqr, zscore, modified_zscore or isolation_forest")
@@ -89,8 +103,7 @@ def _flagged(bars: DataFrame) -> DataFrame:
             "backwards": F.coalesce(F.lag("ts").over(arrival()) > F.col("ts"), F.lit(False)), "rule": price_rule(), "bad_volume": F.coalesce(F.col("volume") < 0, F.lit(False)),
         }
     )
-    closes = F.count("close").over(_whole())
-    return flagged.withColumn("outlier", F.col("outlier") & (closes >= 3))
+    return flagged
 
 
 def _kinds() -> list[tuple[Column, str, Column, str]]:
@@ -175,17 +188,25 @@ def normalize(bars: DataFrame, method: str = "minmax", field: str = "close") ->
     x = F.col(field).cast("double")
     if method == "none":
         return bars.withColumn(field, x)
+    values = bars.select("symbol", x.alias("x"))
     if method == "minmax":
-        low, high = F.min(x).over(_whole()), F.max(x).over(_whole())
-        return bars.withColumn(field, F.when(high > low, (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(x))
-    if method == "zscore":
-        mean, sd = F.avg(x).over(_whole()), F.stddev_pop(x).over(_whole())
-        return bars.withColumn(field, F.when((F.count(x).over(_whole()) >= 2) & (sd > 0), (x - mean) / F.nullif(sd, F.lit(0.0))).otherwise(x))
-    if method != "robust":
+        told = values.groupBy("symbol").agg(F.min("x").alias("__from"), (F.max("x") - F.min("x")).alias("__by"), F.lit(2).alias("__n"))
+    elif method == "zscore":
+        told = values.groupBy("symbol").agg(F.avg("x").alias("__from"), F.stddev_pop("x").alias("__by"), F.count("x").alias("__n"))
+    elif method == "robust":
+        med = middle(values, "__from")
+        spread = middle(_beside(values, med).select("symbol", F.abs(F.col("x") - F.col("__from")).alias("x")), "__by")
+        told = med.join(spread, "symbol").join(values.groupBy("symbol").agg(F.count("x").alias("__n")), "symbol")
+    else:
         raise InvalidParams(f"Unknown normalisation {method!r}", param="method", value=method, expected="minmax, zscore, robust or none")
-    values = bars.select("symbol", x.alias("x"))
-    middle = values.groupBy("symbol").agg(F.median("x").alias("med"), F.count("x").alias("n"))
-    spread = values.join(middle, "symbol").groupBy("symbol").agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"), F.first("med").alias("med"), F.first("n").alias("n")).withColumnRenamed("symbol", "__s")
-    joined = bars.join(spread, F.col("symbol").eqNullSafe(F.col("__s")), "left")
-    scaled = F.when((F.col("n") >= 2) & (F.col("mad") > 0), (x - F.col("med")) / F.nullif(F.col("mad"), F.lit(0.0))).otherwise(x)
-    return joined.withColumn(field, scaled).drop("__s", "med", "mad", "n")
+    scaled = F.when((F.col("__n") >= 2) & (F.col("__by") > 0), (x - F.col("__from")) / F.nullif(F.col("__by"), F.lit(0.0))).otherwise(x)
+    return _beside(bars, told).withColumn(field, scaled).drop("__from", "__by", "__n")
+
+
+def statistics(bars: DataFrame, field: str = "close") -> DataFrame:
+    """Per symbol: mean, sample variance and standard deviation (0 for fewer than two values), median, median absolute deviation."""
+    values = bars.select("symbol", F.col(field).cast("double").alias("x"))
+    plain = values.groupBy("symbol").agg(F.avg("x").alias("mean"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("standard_deviation"))
+    med = middle(values, "median")
+    mad = middle(_beside(values, med).select("symbol", F.abs(F.col("x") - F.col("median")).alias("x")), "mad")
+    return plain.join(med, "symbol", "left").join(mad, "symbol", "left")

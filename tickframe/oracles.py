@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 BARS = """bars AS (
-  SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-         arg_max(value, ts) AS close, count(*) AS volume
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, (ts, event_id)) AS close, count(*) AS volume
   FROM events GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars)"""
 USER_BARS = BARS.replace("event_type AS symbol", "CAST(user_id AS VARCHAR) AS symbol").replace("'hour'", "'day'")
@@ -26,7 +28,7 @@ def div(a: str, b: str, guard: float) -> str:
 
 
 def r6(x: str, name: str) -> str:
-# The tiny addition makes exact halves go up in both engines, whatever their last bit is.
+    # The tiny addition makes exact halves go up in both engines, whatever their last bit is.
     return f"round(CAST({x} AS DOUBLE) + 2.3e-10, 6) + 0.0 AS {name}"
 
 
@@ -205,6 +207,93 @@ PIPELINE_PARTS = {
     "willr_value": f"CASE WHEN rn >= 14 THEN {div(f'-100 * (max(high) {last(14)} - close)', f'max(high) {last(14)} - min(low) {last(14)}', -50)} END",
 }
 
+NOW = datetime(2024, 7, 1)
+TICKS = """b AS (SELECT event_type AS symbol, ts, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)"""
+TICK_PARTS = f"""WITH {TICKS},
+l AS (SELECT *, CASE WHEN rn >= 14 THEN avg(close) OVER w14 END AS sma, CASE WHEN rn >= 20 THEN stddev_samp(close) OVER w20 END AS sd FROM b
+  WINDOW w14 AS (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY rn ROWS 19 PRECEDING)),
+m AS (SELECT *, CASE WHEN rn >= 18 THEN avg(sma) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) END AS slow FROM l)"""
+
+# What the registry says of each indicator.
+REGISTERED = (
+    ("accumulation_distribution", "volume", 1, "", "value", "accumulation_distribution > 0"),
+    ("atr", "volatility", 14, "period,smoothing", "value,true_range", "atr > 2"),
+    ("bollinger_bands", "volatility", 20, "period,source,multiplier", "upper_band,middle_band,lower_band,percent_b,bandwidth", "bollinger_bands_percent_b > 100"),
+    ("cci", "momentum", 20, "period,constant", "value,signal", "cci > 100 or cci < -100"),
+    ("chaikin_money_flow", "volume", 20, "period", "value,sum_money_flow,sum_volume", "chaikin_money_flow > 0"),
+    ("ema", "trend", 12, "period,source,smoothing,initialization", "value", "ema > close"),
+    ("hma", "trend", 17, "period,source", "value", "hma > close"),
+    ("kama", "trend", 11, "period,fast_period,slow_period,source", "value,efficiency_ratio", "kama > close"),
+    ("macd", "trend", 26, "fast_period,slow_period,signal_period,source", "macd,signal,histogram", "macd_histogram > 0"),
+    ("momentum", "momentum", 11, "period,source,smoothing,normalized", "value,signal", "momentum > 0"),
+    ("obv", "volume", 1, "", "value,volume_direction", "obv > 0"),
+    ("roc", "momentum", 13, "period,source,variant", "value,signal", "roc > 0"),
+    ("rsi", "momentum", 15, "period,source,overbought,oversold,smoothing", "value,signal", "rsi > 70 or rsi < 30"),
+    ("sma", "trend", 20, "period,source", "value", "sma > close"),
+    ("standard_deviation", "volatility", 20, "period,source,calculation", "value", "standard_deviation > 2"),
+    ("stochastic", "momentum", 16, "k_period,d_period,k_smoothing,overbought,oversold", "k,d,k_signal,d_signal,crossover", "stochastic_k > 80"),
+    ("volatility_index", "volatility", 21, "period,source,method,periods_per_year,textbook", "value", "volatility_index > 20"),
+    ("vwap", "volume", 1, "variant,session_reset", "value,price_used,cumulative_volume,session_reset_occurred", "close > vwap"),
+    ("williams_r", "momentum", 14, "period,overbought,oversold", "value,signal", "williams_r > -20"),
+    ("wma", "trend", 20, "period,source", "value", "wma > close"),
+)
+
+
+def registry() -> str:
+    rows = ", ".join(f"('{n}', '{c}', {p}, '{params}', '{fields}', '{example}')" for n, c, p, params, fields, example in REGISTERED)
+    return f"SELECT name, category, CAST(required_periods AS INTEGER) AS required_periods, params, fields, example FROM (VALUES {rows}) t(name, category, required_periods, params, fields, example)"
+
+
+#: Which SQL has an indicator with its default parameters.
+DEFAULTS = {
+    "ema": "ema_sma", "wma": "wma", "hma": "hma", "kama": "kama", "macd": "macd", "rsi": "rsi_wilder", "stochastic": "stochastic", "williams_r": "williams_r", "cci": "cci", "roc": "roc_pct", "momentum": "momentum",
+    "standard_deviation": "stddev_sample", "atr": "atr_rma", "bollinger_bands": "bollinger", "volatility_index": "vol_hist", "obv": "obv", "vwap": "vwap_none", "accumulation_distribution": "ad_line", "chaikin_money_flow": "cmf",
+}
+
+
+def every_indicator(oracles: dict[str, str]) -> str:
+    """All twenty side by side, each from its own SQL."""
+    own = {"sma": levels([f"avg(close) {last(20)} AS v"], "rn >= 20", [r6("v", "value")])} | {n: oracles[o] for n, o in DEFAULTS.items()}
+    cols = ", ".join(f"t_{n}.{f} AS {n}_{f}" for n, _, _, _, fields, _ in REGISTERED for f in fields.split(","))
+    tables = " ".join(f"LEFT JOIN ({sql}) t_{n} ON t_{n}.symbol = bars.symbol AND t_{n}.ts = bars.ts" for n, sql in own.items())
+    return f"WITH {BARS} SELECT bars.symbol, bars.ts, {cols} FROM bars {tables}"
+
+
+def quality_report(report: str) -> str:
+    head = report[: report.index("\nSELECT symbol, count(*)")]
+    score = "greatest(0, (total_points - n_issues) / total_points * 100)"
+    advice = f"""concat_ws('; ', CASE WHEN chronological_errors > 0 THEN 'Sort data by timestamp to fix chronological order' END,
+    CASE WHEN outliers_detected > 0 THEN 'Review detected outliers for data integrity' END, CASE WHEN {score} < 80 THEN 'Consider data cleaning to improve overall quality' END)"""
+    return f"""{head},
+r AS ({report[len(head):]}),
+g AS (SELECT symbol, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts, seq)) AS gap FROM d WHERE ts IS NOT NULL),
+u AS (SELECT symbol, min(gap) AS step, sum(gap) AS span, count(*) AS n_gaps FROM g WHERE gap > 0 GROUP BY symbol),
+i AS (SELECT u.symbol, count(*) FILTER (gap > step) AS irregular FROM u JOIN g ON g.symbol = u.symbol WHERE gap > 0 GROUP BY u.symbol)
+SELECT r.*, {r6("coalesce((n_gaps + 1) / (span / step + 1) * 100, 100)", "coverage_percentage")}, coalesce(irregular, 0) AS irregular_intervals,
+  {r6("coalesce((n_gaps - coalesce(irregular, 0)) / n_gaps * 100, 100)", "regularity_score")}, {r6("(total_points - ohlc_violations) / total_points * 100", "consistency_score")}, {advice} AS recommendations
+FROM r LEFT JOIN u ON u.symbol = r.symbol LEFT JOIN i ON i.symbol = r.symbol"""
+
+
+STRIPPED = ("[<>\"''`]", r"\$\{.*\}", "(?i)javascript:", "(?i)data:")
+DANGEROUS = (r"\.\.", "[<>''\"]", r"\$\{", "(?i)javascript:", "(?i)data:", r"(?i)eval\(", r"(?i)exec\(", "__.*__")
+
+
+def sanitized() -> str:
+    clean = "trim(name)"
+    for p in STRIPPED:
+        clean = f"regexp_replace({clean}, '{p}', '', 'g')"
+
+    def dangerous(x: str) -> str:
+        return " OR ".join([f"length({x}) > 1000", *[f"regexp_matches({x}, '{p}')" for p in DANGEROUS]])
+
+    return f"SELECT p_partkey, substr({clean}, 1, 100) AS clean, {dangerous('name')} AS dangerous, {dangerous('p_name')} AS plain_dangerous FROM (SELECT *, ' <b>' || p_name || '</b> javascript:x' AS name FROM part)"
+
+
+UNSAFE = f"""{FLAWED} SELECT symbol, seq, CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'missing price'
+  WHEN least(open, high, low, close) <= 0 OR greatest(open, high, low, close) >= 1000000 THEN 'price' WHEN volume IS NULL OR volume < 0 OR volume > 1000000000 THEN 'volume'
+  WHEN high < greatest(open, close) OR low > least(open, close) THEN 'range'
+  WHEN ts IS NULL OR ts < TIMESTAMP '{NOW}' - INTERVAL 365 DAY OR ts > TIMESTAMP '{NOW}' + INTERVAL 1 DAY THEN 'timestamp' END AS unsafe FROM d"""
+
 ORACLES: dict[str, str] = {
     "bars_hourly": f"WITH {BARS} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
     "bars_user_daily": f"WITH {USER_BARS} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
@@ -258,7 +347,26 @@ ORACLES: dict[str, str] = {
     "typical_price": levels([f"{TP} AS tp"], "true", [r6("tp", "value")]),
     "pct_change": levels([f"lag(close) {W} AS c0", f"{div('100 * (close - c0)', 'c0', 0)} AS v"], "rn > 1", [r6("v", "value")]),
     "volume_price": levels(["(high + low + close) / 3 * volume AS v"], "true", [r6("v", "value")]),
-    "statistics": f"WITH {BARS}, m AS (SELECT symbol, median(close) AS med FROM bars GROUP BY 1) SELECT bars.symbol, round(avg(close), 6) AS mean, round(var_samp(close), 6) AS variance, round(stddev_samp(close), 6) AS standard_deviation, round(any_value(med), 6) AS median, round(median(abs(close - med)), 6) AS mad FROM bars JOIN m ON m.symbol = bars.symbol GROUP BY 1",
+    "statistics": f"WITH {BARS}, m AS (SELECT symbol, median(close) AS med FROM bars GROUP BY 1) SELECT bars.symbol, {r6('avg(close)', 'mean')}, {r6('var_samp(close)', 'variance')}, {r6('stddev_samp(close)', 'standard_deviation')}, {r6('any_value(med)', 'median')}, {r6('median(abs(close - med))', 'mad')} FROM bars JOIN m ON m.symbol = bars.symbol GROUP BY 1",
+    "volume_decimal": f"WITH {BARS} SELECT symbol, ts, {r6('volume', 'value')} FROM bars",
+    "round_to": f"WITH {BARS} SELECT symbol, ts, {r6('round(CAST(close AS DECIMAL(18,4)), 2)', 'value')} FROM bars",
+    "correlation": f"WITH {BARS} SELECT symbol, {r6('corr(close, volume)', 'correlation')} FROM bars GROUP BY symbol",
+    "filter_zero_volume": f"{FLAWED} SELECT symbol, seq, volume FROM d WHERE volume > 0",
+    "has_volume": f"{FLAWED} SELECT symbol, bool_or(volume > 0) AS has_volume FROM d GROUP BY symbol",
+    "valid_ohlcv": f"{FLAWED} SELECT symbol, seq, {VALID} AS valid FROM d",
+    "valid_result": levels([], "rn >= 14", ["true AS valid"]),
+    "canonical_ticks": f"SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, {r6('value', 'close')} FROM events",
+    "list_source": "SELECT 'series' AS symbol, value FROM (VALUES (1.75::DOUBLE), (3.25), (6.0)) t(value)",
+    "dq_fill_interp": filled(False),
+    "dq_norm_none": f"{FLAWED} SELECT symbol, ts, seq, {r6('close', 'close')} FROM d",
+    "dq_outliers_forest": f"{FLAWED} SELECT symbol, seq, 'close' AS field, CAST(close AS DOUBLE) AS value, 'isolation_forest' AS method FROM d WHERE false",
+    "unsafe_bars": UNSAFE,
+    "sanitized": sanitized(),
+    "registry": registry(),
+    "pipeline_tolerant": levels([f"avg(close) {last(20)} AS v"], "rn >= 20", [r6("v", "value"), "'flow,more' AS failed"]),
+    "pipeline_separate": levels([], "true", [r6(x, n) for n, x in PIPELINE_PARTS.items()]),
+    "stream_hourly": f"WITH {BARS} SELECT symbol, ts, {', '.join(r6(c, c) for c in ('open', 'high', 'low', 'close'))}, volume FROM bars",
+    "stream_averages": f"{TICK_PARTS} SELECT symbol, ts, 'sma' AS stage, 'value' AS field, {r6('sma', 'number')} FROM m WHERE sma IS NOT NULL UNION ALL SELECT symbol, ts, 'sd', 'value', {r6('sd', 'number')} FROM m WHERE sd IS NOT NULL UNION ALL SELECT symbol, ts, 'slow', 'value', {r6('slow', 'number')} FROM m WHERE slow IS NOT NULL",
     "dq_report": f"""{FLAWED}, {FLAGS}
 SELECT symbol, count(*) AS total_points, count(*) FILTER (valid) AS valid_points, count(*) FILTER (NOT valid) AS invalid_points, count(*) FILTER (missing_ts) AS missing_timestamps,
   count(*) FILTER (repeat) AS duplicate_timestamps, count(*) FILTER (backwards) AS chronological_errors, count(*) FILTER (outlier) AS outliers_detected, count(*) FILTER (rule IS NOT NULL) AS ohlc_violations,
@@ -281,3 +389,6 @@ FROM f GROUP BY symbol""",
     "SELECT symbol, ts, 'sma' AS stage, 'value' AS field, round(sma_value + 2.3e-10, 6) + 0.0 AS value FROM w WHERE sma_value IS NOT NULL UNION ALL SELECT symbol, ts, 'willr', 'value', round(willr_value + 2.3e-10, 6) + 0.0 FROM w WHERE willr_value IS NOT NULL",
     "pipeline_latest": f"WITH {BARS}, l AS (SELECT symbol, ts, rn, avg(close) {last(14)} AS v FROM b) SELECT symbol, max(ts) AS ts, round(arg_max(v, ts) + 2.3e-10, 6) + 0.0 AS value FROM l WHERE rn >= 14 GROUP BY symbol",
 }
+ORACLES["pipeline_merge"] = f"SELECT symbol, ts, value FROM ({ORACLES['sma']}) UNION ALL SELECT symbol, ts, value FROM ({ORACLES['wma']})"
+ORACLES["pipeline_all"] = every_indicator(ORACLES)
+ORACLES["dq_quality_report"] = quality_report(ORACLES["dq_report"])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 import time
 from collections import defaultdict, deque
 from datetime import datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,7 @@ from .errors import ValidationError
 # Limits, and what strings and keys must not hold.
 MAX_PERIOD, MIN_FACTOR, MAX_FACTOR = 1000, 0.1, 10
 MAX_STRING, MAX_SANITIZED, MAX_NUMBER = 1000, 100, 1e20
+MAX_BYTES = 50_000_000
 MAX_ROWS, MAX_BARS, MAX_PRICE, MAX_VOLUME = 100_000, 50_000, 1_000_000, 1_000_000_000
 FACTORS = ("multiplier", "std_dev", "factor")
 DANGEROUS = (r"\.\.", r"[<>'\"]", r"\$\{", r"(?i)javascript:", r"(?i)data:", r"(?i)eval\(", r"(?i)exec\(", r"__.*__")
@@ -52,24 +56,39 @@ def dangerous_key(key: str) -> bool:
     return key in BAD_KEYS or any(x in key for x in BAD_PARTS)
 
 
+def _size(value: Any) -> int:
+    """Bytes of a value with all that it holds, about."""
+    if isinstance(value, dict):
+        return sys.getsizeof(value) + sum(_size(k) + _size(v) for k, v in value.items())
+    return sys.getsizeof(value) + (sum(map(_size, value)) if isinstance(value, (list, tuple, set)) else 0)
+
+
 def validate_input(value: Any) -> None:
-    """Raise ValidationError for strings, numbers, keys or collections beyond the limits."""
+    """Raise ValidationError for strings, numbers, keys or collections beyond the limits, and for numbers that are not finite."""
+    if isinstance(value, (dict, list, tuple)) and _size(value) > MAX_BYTES:
+        raise ValidationError("Too much data", field="size", value=_size(value), constraint=f"at most {MAX_BYTES} bytes")
+    _check(value)
+
+
+def _check(value: Any) -> None:
     if isinstance(value, str):
         if len(value) > MAX_STRING or any(re.search(p, value) for p in DANGEROUS):
             raise ValidationError("Dangerous or overlong string", field="string", value=value[:50], constraint="plain text")
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+    elif isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        if not (value.is_finite() if isinstance(value, Decimal) else math.isfinite(value)):
+            raise ValidationError("Number is not finite", field="number", value=value, constraint="finite")
         if abs(value) > MAX_NUMBER:
             raise ValidationError("Number out of range", field="number", value=value, constraint=f"within {MAX_NUMBER:g}")
     elif isinstance(value, dict):
         for k, v in value.items():
             if dangerous_key(str(k)):
                 raise ValidationError(f"Dangerous key {k}", field="key", value=k, constraint="plain name")
-            validate_input(v)
+            _check(v)
     elif isinstance(value, (list, tuple)):
         if len(value) > MAX_ROWS:
             raise ValidationError("Too many rows", field="rows", value=len(value), constraint=f"at most {MAX_ROWS}")
         for v in value:
-            validate_input(v)
+            _check(v)
 
 
 def validate_parameters(params: dict[str, Any]) -> None:
@@ -79,7 +98,7 @@ def validate_parameters(params: dict[str, Any]) -> None:
             raise ValidationError(f"Dangerous key {key}", field="key", value=key, constraint="plain name")
         if key == "period" and not (isinstance(value, int) and 1 <= value <= MAX_PERIOD):
             raise ValidationError("Period out of range", field=key, value=value, constraint=f"1 to {MAX_PERIOD}")
-        if key in FACTORS and not (isinstance(value, (int, float)) and MIN_FACTOR <= value <= MAX_FACTOR):
+        if key in FACTORS and not (isinstance(value, (int, float, Decimal)) and MIN_FACTOR <= value <= MAX_FACTOR):
             raise ValidationError("Factor out of range", field=key, value=value, constraint=f"{MIN_FACTOR} to {MAX_FACTOR}")
 
 
@@ -96,6 +115,16 @@ def flag_bars(bars: DataFrame, now: datetime) -> DataFrame:
     return bars.withColumn("unsafe", F.when(missing, "missing price").when(bad_price, "price").when((F.col("volume") < 0) | (F.col("volume") > MAX_VOLUME) | F.col("volume").isNull(), "volume").when(high_low, "range").when(bad_time, "timestamp"))
 
 
+def check_bars(bars: DataFrame, now: datetime, most: int = MAX_BARS) -> None:
+    """Raise ValidationError for bars from outside that are more than `most`, or for the first that flag_bars flags."""
+    n = bars.limit(most + 1).count()
+    if n > most:
+        raise ValidationError(f"More than {most} bars", field="rows", value=n, constraint=f"at most {most}")
+    found = flag_bars(bars, now).filter("unsafe is not null").agg(F.min(F.struct("symbol", "ts", "seq", "unsafe"))).first()[0]
+    if found is not None:
+        raise ValidationError(f"Unsafe bar: {found.unsafe}", field=found.unsafe, value=found.seq, constraint="within the limits")
+
+
 class RateLimit:
     """At most `most` calls per identifier in `seconds`; on the driver only."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +29,16 @@ def local_session(cores: int | str = 8, name: str = "tickframe", **conf: str) ->
     return spark
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's results and progress: under spark.checkpoint.dir, which executors share, or a local one on a local session."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"tickframe-{name}-")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application, as --py-files would."""
     context = spark.sparkContext

@@ -6,10 +6,13 @@ open, high, low, close DECIMAL(18, 4), volume BIGINT. Indicators need the column
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import InvalidDataFormat, insufficient_data
+from ..errors import InvalidDataFormat, ValidationError, insufficient_data
 
 PRICE = "decimal(18,4)"
 PRICES = ("open", "high", "low", "close")
@@ -35,6 +38,56 @@ def canonicalize(df: DataFrame, mapping: dict[str, str] | None = None, symbol: s
     return df.select(*cols)
 
 
+def from_rows(spark: SparkSession, rows: list, symbol: str = "series") -> DataFrame:
+    """Canonical bars from Python values in their order: closes as numbers, (open, high, low, close, volume) tuples, or mappings with those names and ts."""
+    if not rows:
+        raise insufficient_data(1, 0)
+    told = []
+    for i, row in enumerate(rows):
+        if isinstance(row, (int, float, Decimal)) and not isinstance(row, bool):
+            row = {"close": row}
+        elif isinstance(row, (tuple, list)) and len(row) == 5:
+            row = dict(zip((*PRICES, "volume"), row, strict=True))
+        elif not isinstance(row, dict) or "close" not in row:
+            raise InvalidDataFormat(f"Row {i} is no bar", expected="a number, five values or a mapping with close", received=repr(row)[:80])
+        told.append((row.get("symbol", symbol), row.get("ts"), i, *(None if row.get(c) is None else str(row[c]) for c in PRICES), row.get("volume")))
+    kept = [c for k, c in enumerate(PRICES) if any(r[3 + k] is not None for r in told)]
+    df = spark.createDataFrame(told, "symbol string, ts timestamp_ntz, seq long, open string, high string, low string, close string, volume long")
+    return canonicalize(df.select("symbol", "ts", "seq", *kept, *(("volume",) if any(r[-1] is not None for r in told) else ())))
+
+
+def all_decimals(df: DataFrame, *columns: str) -> bool:
+    """Whether all these columns (all of df's, if none is named) hold decimals."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return all(isinstance(kinds.get(c), T.DecimalType) for c in columns or df.columns)
+
+
+def all_numbers(df: DataFrame, *columns: str) -> bool:
+    """Whether all these columns (all of df's, if none is named) hold numbers."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return all(isinstance(kinds.get(c), T.NumericType) for c in columns or df.columns)
+
+
+def validate_volumes(bars: DataFrame) -> None:
+    """Raise InvalidDataFormat without a volume column, ValidationError for the first volume that is null, negative or no whole number. No rows are fine."""
+    if "volume" not in bars.columns:
+        raise InvalidDataFormat("No volume column", expected="volume", received=tuple(bars.columns))
+    told = F.col("volume").cast("string")
+    whole = F.coalesce(told.rlike(r"^[0-9]+(\.0+)?([eE][0-9]+)?$"), F.lit(False))
+    keys = [c for c in ("symbol", "ts", "seq") if c in bars.columns]
+    found = bars.agg(F.min(F.when(~whole, F.struct(*keys, told.alias("volume")))).alias("first")).first()
+    if found.first is not None:
+        raise ValidationError(f"Volume must be a non-negative integer, got {found.first.volume}", field="volume", value=found.first.volume, constraint="non-negative integer")
+
+
+def valid_result(fields: tuple[str, ...] = ("value",)) -> Column:
+    """Whether a row is an indicator's result: it has a time and a value in one of its fields."""
+    out = F.lit(False)
+    for c in fields:
+        out = out | F.col(c).isNotNull()
+    return F.col("ts").isNotNull() & out
+
+
 def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, unit: str, tiebreak: str) -> DataFrame:
     """One bar per symbol and calendar unit (hour, day, ...): first and last price by (ts, tiebreak), extremes, number of ticks.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from typing import Any
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..errors import StreamStateError
-from ..operators import REGISTRY, find
+from ..errors import InvalidParams, StreamStateError
+from ..operators import REGISTRY, available, find
+from ..plans.pipeline import Pipeline
 
 
 def _mean(x: list[float]) -> float:
@@ -302,24 +304,99 @@ class Stream:
         return flows and {"value": _div(math.fsum(flows), sum(volumes), 0.0), "sum_money_flow": math.fsum(flows), "sum_volume": float(sum(volumes))}
 
 
+class PipelineStream:
+    """The incremental form of a Pipeline: each bar goes through all stages in their order.
+
+    A stage that reads another gets that one's first field as its close, from the first bar that has one. If a stage
+    fails, fail_fast puts every state back and raises; continue_on_error puts that stage's state back and goes on.
+    """
+
+    def __init__(self, pipeline: Pipeline):
+        self.pipeline, self.stages = pipeline, pipeline.order()
+        self.streams = {s.label: Stream(s.indicator, **s.params) for s in self.stages}
+        self.metrics = {"executions": 0, "seconds": 0.0, "last_seconds": 0.0, "error_count": 0}
+
+    def update(self, bar: dict[str, Any]) -> dict[str, dict[str, Any]]:
+        """The results of the stages that have one, by label."""
+        began, out = time.perf_counter(), {}
+        before = {k: json.dumps(s.s) for k, s in self.streams.items()}
+        for s in self.stages:
+            given = bar
+            if s.reads is not None:
+                value = out.get(s.reads, {}).get(find(next(x.indicator for x in self.stages if x.label == s.reads)).fields[0])
+                if value is None:
+                    continue
+                given = {**bar, "close": value}
+            try:
+                found = self.streams[s.label].update(given)
+            except Exception as e:
+                self.metrics["error_count"] += 1
+                if self.pipeline.config["error_handling"] == "fail_fast":
+                    for k, stream in self.streams.items():
+                        stream.s = json.loads(before[k])
+                    raise StreamStateError(f"Stage {s.label} failed: {e}", operation=s.label, reason=str(e)) from e
+                self.streams[s.label].s = json.loads(before[s.label])
+                continue
+            if found:
+                out[s.label] = found
+        took = time.perf_counter() - began
+        self.metrics = {**self.metrics, "executions": self.metrics["executions"] + 1, "seconds": self.metrics["seconds"] + took, "last_seconds": took}
+        return out
+
+    def snapshot(self) -> str:
+        return json.dumps({k: s.snapshot() for k, s in self.streams.items()})
+
+    def load(self, text: str) -> PipelineStream:
+        """Go on from a snapshot of a pipeline with the same stages."""
+        try:
+            told = json.loads(text)
+            if told.keys() != self.streams.keys():
+                raise KeyError(f"stages {sorted(told)}")
+            self.streams = {k: Stream.restore(v) for k, v in told.items()}
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise StreamStateError(f"Not a state of this pipeline: {e}", operation="restore", reason=str(e)) from None
+        return self
+
+
+def compose_streams(primary: tuple[str, dict], dependents: list[tuple[str, dict]] = (), reads: bool = True) -> PipelineStream:
+    """A primary stream and streams that follow it, as (indicator, params): with reads=True they read its results, else the same bars."""
+    pipeline = Pipeline().add_stage("primary", primary[0], **primary[1])
+    for i, (name, params) in enumerate(dependents):
+        label = f"dependent_{i}"
+        pipeline = pipeline.add_stage(label, name, reads="primary" if reads else None, **params).add_dependency(label, "primary")
+    return PipelineStream(pipeline)
+
+
+def init_stream(category: str, indicator: str, **params) -> Stream:
+    """The stream of an indicator of a category; InvalidParams if the category has no such one."""
+    if indicator not in available(category):
+        raise InvalidParams(f"Unknown {category} indicator {indicator!r}", param="indicator", value=indicator, expected=f"one of {available(category)}")
+    return Stream(indicator, **params)
+
+
+def update_stream(stream: Stream, bar: dict[str, Any]) -> tuple[Stream, dict[str, Any] | None]:
+    """The stream after one more bar, and its result; the one that is given stays as it is."""
+    after = Stream.restore(stream.snapshot())
+    return after, after.update(bar)
+
+
 OUTPUT = "symbol string, ts timestamp_ntz, stage string, field string, number double, word string"
 
 
 class _Processor(StatefulProcessor):
     """Keeps the snapshots of all stages of one symbol, and its last time."""
 
-    def __init__(self, stages: list[tuple[str, str, dict]]):
-        self.stages = stages
+    def __init__(self, pipeline: Pipeline):
+        self.pipeline = pipeline
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streams", T.StructType([T.StructField("snapshots", T.ArrayType(T.StringType())), T.StructField("last", T.StringType())]))
+        self.state = handle.getValueState("streams", T.StructType([T.StructField("snapshot", T.StringType()), T.StructField("last", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        streams, last = PipelineStream(self.pipeline), ""
         if self.state.exists():
-            snapshots, last = self.state.get()
-            streams, last = [Stream.restore(x) for x in snapshots], last
-        else:
-            streams, last = [Stream(name, **params) for _, name, params in self.stages], ""
+            snapshot, last = self.state.get()
+            streams.load(snapshot)
         # Bars of a micro-batch may come in any order; those not after what was already seen are late and are left out.
         bars = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").to_dict("records")
         out = []
@@ -328,11 +405,11 @@ class _Processor(StatefulProcessor):
             if at <= last:
                 continue
             last = at
-            for (label, _, _), stream in zip(self.stages, streams, strict=True):
-                for name, value in (stream.update(bar) or {}).items():
+            for label, found in streams.update(bar).items():
+                for name, value in found.items():
                     word = isinstance(value, str)
                     out.append((key[0], bar["ts"], label, name, None if word or value is None else float(value), value if word else None))
-        self.state.update(([s.snapshot() for s in streams], last))
+        self.state.update((streams.snapshot(), last))
         yield pd.DataFrame(out, columns=["symbol", "ts", "stage", "field", "number", "word"])
 
     def close(self) -> None:
@@ -344,9 +421,15 @@ def stream_indicators(bars: DataFrame, stages: list[tuple[str, str, dict]]) -> D
 
     Needs the RocksDB state store. Within a micro-batch bars are put in order; a bar that is not after its symbol's last one is ignored.
     """
-    for _, name, params in stages:
-        find(name).options(params)
-    return bars.groupBy("symbol").transformWithStateInPandas(_Processor(stages), outputStructType=T._parse_datatype_string(OUTPUT), outputMode="append", timeMode="none")
+    pipeline = Pipeline()
+    for label, name, params in stages:
+        pipeline = pipeline.add_stage(label, name, **params)
+    return stream_pipeline(bars, pipeline)
+
+
+def stream_pipeline(bars: DataFrame, pipeline: Pipeline) -> DataFrame:
+    """stream_indicators for a Pipeline, with its dependencies, stages that read others, and error handling."""
+    return bars.groupBy("symbol").transformWithStateInPandas(_Processor(pipeline.build()), outputStructType=T._parse_datatype_string(OUTPUT), outputMode="append", timeMode="none")
 
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
