@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, settle
+from .common import new_path, prefix_sums, settle
 
 # Strings that chat templates use as controls. The first two mark turns here.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -93,17 +93,13 @@ def format_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     told = rows.groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(F.struct("at", "head", "body", "loss"))).alias("turns"))
     tail = END + "\n"
 
-    def step(state: Column, t: Column) -> Column:
-        start = state["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + len(tail)).cast("long").alias("at"), F.when(t["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    ends = prefix_sums(F.transform("turns", lambda t: (F.length(t["head"]) + F.length(t["body"]) + len(tail)).cast("bigint")))
+    placed = F.zip_with("turns", ends, lambda t, e: F.struct(t["loss"].alias("loss"), (e - len(tail) - F.length(t["body"])).alias("start"), (e - len(tail)).alias("end")))
+    spans = F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return told.select(
         "tree", "leaf", "rank", "path_score",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("turns", zero, step)["spans"].alias("loss_spans"),
+        spans.cast("array<struct<start:bigint,end:bigint>>").alias("loss_spans"),
     )
 
 
@@ -133,7 +129,10 @@ def chains(rows: DataFrame) -> DataFrame:
 
 
 def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Format every conversation of rows, write the result to path, read it back and say what it holds.
+    """Format every conversation of rows (conv_id, turn, role, text), write the result to path, read it back and say what it holds.
+
+    Null roles and texts are empty, rows without a conv_id are one conversation, null turns come first, repeated rows are
+    turns each, texts and conversations may have any length, and other columns are ignored.
 
     Gives conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. An empty table gives no rows.
     """

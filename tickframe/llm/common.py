@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of ASCII digits, ASCII letters and non-ASCII characters, compared without ASCII case.
@@ -103,7 +103,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fold_of(doc_id) -> F.Column:
+def fold_of(doc_id) -> Column:
     """crc32 of the id as text, modulo 3; null ids have none."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
@@ -112,6 +112,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Numbers that one step of prefix_sums adds up before its list joins the others.
+SUM_BLOCK = 128
+
+
+def prefix_sums(numbers: Column) -> Column:
+    """The running totals of an array of numbers, as an array<bigint>. Totals are gathered by blocks, so that long arrays are not copied at every step."""
+    none = F.array().cast("array<bigint>")
+    n = F.size(numbers)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(SUM_BLOCK)), lambda at: F.slice(numbers, at + 1, SUM_BLOCK))
+
+    def one(state: Column, x: Column) -> Column:
+        total = state["total"] + x
+        return F.struct(total.alias("total"), F.concat(state["own"], F.array(total)).alias("own"))
+
+    def block(state: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(state["total"].alias("total"), none.alias("own")), one)
+        return F.struct(done["total"].alias("total"), F.concat(state["all"], F.array(done["own"])).alias("all"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("all"))
+    return F.flatten(F.aggregate(blocks, zero, block)["all"])
+
+
 def fresh(names: list[str]) -> str:
     """A column name that is none of names, whatever their case."""
     name, taken = "own_", {n.lower() for n in names}

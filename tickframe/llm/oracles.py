@@ -52,9 +52,10 @@ def secrets() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 raw AS ({" UNION ALL ".join(parts)}),
 placed AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY uid, ord ORDER BY place) AS BIGINT) AS e FROM raw),
-spans AS (SELECT uid, source, ord, kind, e - length(m) AS s, e, sha256(v) AS h FROM placed WHERE length(v) >= least),
-freq AS (SELECT h, count(DISTINCT coalesce('=' || source, '')) AS owners FROM spans GROUP BY h),
-judged AS (SELECT spans.*, owners > {secrets_scan.MOST_OWNERS} AS copied, kind || ':' || s || ':' || e AS t FROM spans JOIN freq USING (h)),
+spans AS (SELECT uid, source, lang, ord, kind, e - length(m) AS s, e, sha256(v) AS h FROM placed WHERE length(v) >= least),
+every AS (SELECT count(DISTINCT coalesce('=' || source, '')) AS owners FROM d),
+freq AS (SELECT h, count(DISTINCT coalesce('=' || source, '')) AS n_owners, count(DISTINCT (coalesce('=' || source, ''), coalesce('=' || lang, ''))) AS n_repos FROM spans GROUP BY h),
+judged AS (SELECT spans.*, n_owners > greatest({secrets_scan.MOST_OWNERS}, {secrets_scan.OWNER_SHARE} * (SELECT owners FROM every)) OR (n_owners > 1 AND n_repos > {secrets_scan.MOST_REPOS}) AS copied, kind || ':' || s || ':' || e AS t FROM spans JOIN freq USING (h)),
 told AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(t, ',' ORDER BY s, ord) FILTER (ord < {n_base}) AS base, string_agg(t, ',' ORDER BY s, ord) FILTER (ord < {n_base} OR NOT copied) AS spans,
   count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied) AS n_live FROM judged GROUP BY uid)
