@@ -97,6 +97,24 @@ def test_block_table(request, which, tmp_path):
             assert zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_other_tokenizers_get_whole_texts():
+    other = token_blocks.WordEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["Plain words, and  two spaces", "it's\nnew", "", " x"]
+    assert other.whole and not token_blocks.encoder(WORDS).whole
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_one_id_takes_several_shards(spark, tmp_path):
+    """Two thirds of all rows have one id or none; they are spread, and stand in the order of ids all the same."""
+    rows = [(7 if i % 3 else i, f"text number {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "t")
+    check_table(token_blocks.encode_corpus(docs, WORDS, 2, path).collect(), [type("R", (), {"doc_id": d, "text": t}) for d, t in rows])
+    told = spark.read.parquet(path).select("shard", "doc_ids").collect()
+    assert len({r.shard for r in told if 7 in r.doc_ids}) > 1 or len({r.shard for r in told}) < 3
+    assert len({r.shard for r in told if None in r.doc_ids}) > 1
+
+
 def test_pieces_of_tables(messy, documents):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for docs in (messy, documents):

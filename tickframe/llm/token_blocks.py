@@ -15,11 +15,13 @@ percentile of them; the rest keep their low bits in place and their whole value
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 ROW_IDS = 65_536
 #: Pieces of text, and lower-case words in them, that a Python worker keeps between batches; a cache is emptied beyond that.
-CACHE_PIECES = 500_000
-CACHE_WORDS = 900_000
+CACHE_PIECES = 250_000
+CACHE_WORDS = 400_000
+#: Documents of a shard, about.
+SHARD_DOCS = 200_000
 #: A word of plain letters, each with one lower-case form, and the stops after it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 #: str.split() takes these for white space; the tokenizer does not.
@@ -105,18 +109,36 @@ def unpack(data: bytes) -> np.ndarray:
     return (values + least[:, None]).reshape(-1)[:n]
 
 
+# The normalizer and the pre-tokenizer under which the ids of a text are those of its pieces between white space.
+CUT_AT_SPACE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer file whose pre-tokenizer drops white space and never joins text across it.
 
     A text's ids are then those of its white-space-separated pieces, one after another, so each distinct piece is
     encoded once per worker while the cache holds it. Pieces of plain letters are encoded many to a call and told
-    apart by the vocabulary's word-end suffix.
+    apart by the vocabulary's word-end suffix. A file with any other normalizer or pre-tokenizer than CUT_AT_SPACE is
+    recognised when it is loaded, and whole texts are given to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        added = [t for t in told["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"] or any(c.isspace() for c in t["content"])]
+        plain = not told["model"].get("dropout") and not added and told["truncation"] is None and told["padding"] is None
+        self.whole = not plain or {k: told[k] for k in CUT_AT_SPACE} != CUT_AT_SPACE
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -168,6 +190,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.whole:
+            return self._encode(texts)
         split = [NOT_SPACE(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
@@ -205,13 +229,19 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     """Write the ids of all documents to a block table at path.
 
     Null texts are empty and give the end id alone. Null ids come last; rows that share an id stand next to each other,
-    ordered by their ids' bytes. Other columns are ignored; an empty input gives an empty table.
+    ordered by a hash of their token ids, then by these. Rows of one id, or of none, may so take several shards if they
+    are many. Other columns are ignored; an empty input gives an empty table; texts may have any length.
     """
     spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Range bounds from the ids alone: the texts are read once, and encoded before the shuffle.
-    bounds = np.unique(np.array(docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.25 / shards), np.float64)) if shards > 1 else np.zeros(0)
+    n, n_ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    shards = max(shuffle_partitions(spark), -(-n // SHARD_DOCS))
+    of_none = -(-shards * (n - n_ids) // n) if n > n_ids else 0
+    first_none = max(1, shards - of_none)
+    shards = first_none + of_none
+    places = [i / first_none for i in range(1, first_none)]
+    bounds = np.array(docs.agg(F.percentile_approx("doc_id", places, max(10_000, 4 * first_none))).first()[0] if places and n_ids else [], np.int64)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
@@ -219,16 +249,20 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         for batch in batches:
             for first, texts in text_batches(batch, "text"):
                 ids = batch.column("doc_id").slice(first, len(texts))
-                near = np.array([float("inf") if x is None else x for x in ids.to_pylist()], np.float64)
                 rows = [x + end for x in enc.encode(texts)]
+                mixed = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 33 for x in rows), np.int64, len(rows))
+                # An id that bounds repeat is spread over the shards they part, in the order of the hash.
+                known = ids.fill_null(0).to_numpy()
+                low, high = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+                shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), first_none + (mixed * of_none >> 31), low + (mixed * (high - low + 1) >> 31))
                 narrow = [np.frombuffer(x, "<u4") for x in rows]
                 narrow = [x.astype("<u2") if len(x) and x.max() < 65_536 else x for x in narrow]
                 yield pa.record_batch(
                     [
-                        pa.array(np.searchsorted(bounds, near, side="left"), pa.int32()), ids, pa.array([len(x) // 4 for x in rows], pa.int32()),
+                        pa.array(shard.astype(np.int32)), ids, pa.array(mixed), pa.array([len(x) // 4 for x in rows], pa.int32()),
                         pa.array([x.tobytes() for x in narrow], pa.binary()),
                     ],
-                    ["shard", "doc_id", "n", "ids"],
+                    ["shard", "doc_id", "mixed", "n", "ids"],
                 )
 
     def lay(batches):
@@ -244,7 +278,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             )
 
         for batch in batches:
-            for s, doc, n, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for s, doc, n, data in zip(*(batch.column(k).to_pylist() for k in ("shard", "doc_id", "n", "ids")), strict=True):
                 if held and (s != shard or size + n > ROW_IDS):
                     yield row()
                     seq, first = seq + 1, first + size
@@ -260,8 +294,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     ROW = pa.schema(
         [("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int32())), ("blocks", pa.binary())]
     )
-    encoded = docs.mapInArrow(encode, "shard int, doc_id long, n int, ids binary")
-    laid = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
+    encoded = docs.mapInArrow(encode, "shard int, doc_id long, mixed long, n int, ids binary")
+    laid = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "mixed", "ids")
     laid.mapInArrow(lay, TABLE_SCHEMA).write.parquet(path)
 
 
