@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm_helpers import PROSE
-from tickframe.llm import decontaminate, line_chunks, secrets_scan, set_join, toxicity
+from tickframe.llm import common, decontaminate, line_chunks, secrets_scan, set_join, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,23 +47,24 @@ def by_text(rows):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 40])
-def test_contamination(spark, messy, documents, sf, block_chars):
+@pytest.mark.parametrize("sent_chars", [decontaminate.SENT_CHARS, 0])
+def test_contamination(spark, messy, documents, sf, sent_chars):
     extra = [(1, PROSE), (1, "word5 Überlänge"), (2, None), (3, ""), (None, PROSE), (4, "the"), (5, "NAÏVE naïve"), (10, PROSE + " more")]
     benchmark = spark.createDataFrame(extra, "item_id long, text string").withColumn("part", F.lit("x"))
-    got = decontaminate.contamination(messy, benchmark, block_chars=block_chars).collect()
+    got = decontaminate.contamination(messy, benchmark, sent_chars=sent_chars).collect()
     assert by_text(map(tuple, got)) == by_text(brute_contamination(pairs(messy, "doc_id", "text"), extra))
-    kept = decontaminate.remove_contaminated(messy, benchmark, block_chars=block_chars)
+    kept = decontaminate.remove_contaminated(messy, benchmark, sent_chars=sent_chars)
     assert kept.columns == messy.columns and kept.count() == sum(not r.contaminated for r in got)
-    if block_chars > 40:
-        real = spark.read.parquet(f"{sf}/benchmark.parquet")
-        got = decontaminate.contamination(documents, real).collect()
-        assert by_text(map(tuple, got)) == by_text(brute_contamination(pairs(documents, "doc_id", "text"), pairs(real, "item_id", "text")))
-        assert any(r.contaminated for r in got)
+    real = spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = decontaminate.contamination(documents, real, sent_chars=sent_chars).collect()
+    assert by_text(map(tuple, got)) == by_text(brute_contamination(pairs(documents, "doc_id", "text"), pairs(real, "item_id", "text")))
+    assert any(r.contaminated for r in got)
 
 
 def test_contamination_of_nothing(messy, spark):
     none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.remove_contaminated(messy, none).count() == messy.count()
+    assert not any(r.contaminated for r in decontaminate.contamination(messy, none, sent_chars=-1).collect())
     assert not any(r.contaminated for r in decontaminate.contamination(messy, none).collect())
     assert decontaminate.contamination(messy.limit(0), none).count() == 0
 
@@ -488,6 +489,15 @@ def near_copies(spark, n=60):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def test_texts_that_many_rows_copy(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    docs = near_copies(spark).unionByName(spark.range(200).select((F.col("id") + 1000).alias("doc_id"), F.lit("a text that most rows hold as it is").alias("text")))
+    wanted = brute_join(pairs(docs, "doc_id", "text"))
+    told = set_join.join_sets(docs).join(docs, "doc_id").collect()
+    assert len(told) == docs.count() and all((r.class_id, r.n_links, r.copy_of) == wanted[r.text] for r in told)
+    assert all(r.n_copies == 200 for r in told if r.doc_id >= 1000)
+
+
 @pytest.mark.parametrize("bucket, dense", [(set_join.BUCKET, set_join.DENSE), (7, 0.3), (7, 2.0)])
 def test_set_join(spark, documents, monkeypatch, bucket, dense):
     monkeypatch.setattr(set_join, "BUCKET", bucket)
@@ -514,7 +524,11 @@ def test_runs_follow_the_target():
     assert set_join.runs_for(0.99) == 1 and set_join.runs_for(0.99999) == 2
 
 
-def test_components(spark):
-    edges = [(bytes([a]), bytes([b])) for a, b in [(1, 2), (2, 3), (3, 4), (9, 8), (7, 8), (20, 21), (21, 20), (30, 30)] + [(40 + i, 41 + i) for i in range(40)]]
+@pytest.mark.parametrize("hot", [common.HOT_KEYS, 8])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(set_join, "HOT_KEYS", hot)
+    edges = [(bytes([a]), bytes([b])) for a, b in [(1, 2), (2, 3), (3, 4), (9, 8), (7, 8), (20, 21), (21, 20), (30, 30)] + [(40 + i, 41 + i) for i in range(40)] + [(90, 91 + i) for i in range(60)]]
     got = {r.node[0]: r.root[0] for r in set_join.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert all(got[91 + i] == 90 for i in range(60))
     assert [got[x] for x in (1, 2, 3, 4, 7, 8, 9, 20, 21)] == [1, 1, 1, 1, 7, 7, 7, 20, 20] and all(got[40 + i] == 40 for i in range(41))

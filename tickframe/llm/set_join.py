@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle, shuffle_partitions, words_of
+from .common import HOT_KEYS, fresh, join_counted, release, settle, shuffle_partitions, words_of
 
 NGRAM = 5
 THRESHOLD = (4, 5)  # similarity of at least 4 / 5
@@ -244,16 +244,20 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        open_, most, total = nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and down > 0)")), F.coalesce(F.max(F.col("up") + F.col("down")), F.lit(0)), F.coalesce(F.sum(F.col("up") + F.col("down")), F.lit(0))).first()
+        if not open_:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # Each larger neighbour of a node, and the node itself, meet its smallest neighbour.
         large = both.withColumn("own", F.lit(False)).unionByName(both.select("a", F.col("a").alias("b"), F.lit(True).alias("own")).distinct())
-        large = large.join(least, F.col("a") == F.col("c")).filter("b > a or own").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = settle(large)
+        met = join_counted(large, least, "a", "n", total) if most * HOT_KEYS > total > HOT_KEYS else large.join(least, "a")  # a hub's edges are not one task's
+        large = settle(met.filter("b > a or own").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        release(now)
         small = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
         now = settle(large.join(small, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("c").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
+        release(large)
 
 
 def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -261,7 +265,8 @@ def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
 
     copy_of is the smallest doc_id with the same text and n_copies the rows that have it; n_links counts the other texts
     of similarity 0.8 or more; class_id is the smallest doc_id of all that copies and links connect. Texts without a word
-    have no links; they are copies of their like. A null text counts as empty. Null ids are never a smallest id unless
+    have no links; they are copies of their like. A null text counts as empty; rows that repeat id and text are copies of
+    each other; texts of any length are whole sets; other columns are ignored. Null ids are never a smallest id unless
     all are null. own is Spark's xxhash64 of the text, and class_own that of the text class_id stands for.
     """
     texts = _texts(docs, runs_for(target_recall))
@@ -305,7 +310,11 @@ def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
     told = distinct.select("digest", "rep", "n_copies").join(linked_texts, "digest", "left")
     least = F.coalesce("least", "rep")
     named = told.select("digest", least["doc_id"].alias("class_id"), least["own"].alias("class_own"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("rep.doc_id").alias("copy_of"), "n_copies")
-    return texts.select("doc_id", "own", "digest").join(named, "digest").select("doc_id", "own", "class_id", "class_own", "n_links", "copy_of", "n_copies")
+    named = settle(named)
+    for done in (distinct, shared, sets, leaves, found, grouped):
+        release(done)
+    # A text that a third of all rows copy is met by broadcast, not in one task.
+    return join_counted(texts.select("doc_id", "own", "digest"), named, "digest", "n_copies", texts.count()).select("doc_id", "own", "class_id", "class_own", "n_links", "copy_of", "n_copies")
 
 
 def keep_one(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
