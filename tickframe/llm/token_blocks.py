@@ -31,12 +31,13 @@ BLOCK = 128
 PERCENTILE = 0.9
 ROW_IDS = 65_536
 #: Pieces of text, and lower-case words in them, that a Python worker keeps between batches; a cache is emptied beyond that.
-CACHE_PIECES = 250_000
-CACHE_WORDS = 400_000
+CACHE_PIECES = 500_000
+CACHE_WORDS = 900_000
 #: Documents of a shard, about.
 SHARD_DOCS = 200_000
-#: A word of plain letters, each with one lower-case form, and the stops after it.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: Plain letters, each with one lower-case form, and the stops that may follow a word of them.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+STOPS = ".,;:!?"
 #: str.split() takes these for white space; the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 NOT_SPACE = re.compile("[^ \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
@@ -136,6 +137,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
+        self.marks = {t["content"][:2] for t in told["added_tokens"]} | {t["content"][:2].upper() for t in told["added_tokens"]}
         added = [t for t in told["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"] or any(c.isspace() for c in t["content"])]
         plain = not told["model"].get("dropout") and not added and told["truncation"] is None and told["padding"] is None
         self.whole = not plain or {k: told[k] for k in CUT_AT_SPACE} != CUT_AT_SPACE
@@ -145,6 +147,7 @@ class WordEncoder:
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,29 +173,40 @@ class WordEncoder:
         """Ids of pieces: letters and a closing run of stops are separate words to the pre-tokenizer."""
         if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
+        cores, known, tails = self.cores, self.known, self.tails
         plain: list[tuple[str, str, str]] = []
-        rest: set[str] = set()
+        rest: list[str] = []
         for piece in pieces:
-            m = PLAIN(piece)
-            if m:
-                core, tail = m.groups()
-                plain.append((piece, core.lower(), tail))
+            core = piece.rstrip(STOPS)
+            ids = cores.get(core)
+            if ids is not None and (core is piece or piece[len(core) :] in tails):
+                known[piece] = ids if core is piece else ids + tails[piece[len(core) :]]
+            elif core.isalpha() and (core.isascii() or LETTERS(core)):
+                plain.append((piece, core.lower(), piece[len(core) :]))
             else:
-                rest.add(piece)
-        self._learn_cores(list({low for _, low, _ in plain}.difference(self.cores)))
-        others = list(rest.union(tail for _, _, tail in plain if tail))
-        own = dict(zip(others, self._encode(others), strict=True))
-        cores, known = self.cores, self.known
+                rest.append(piece)
+        self._learn_cores(list({low for _, low, _ in plain}.difference(cores)))
+        if len(tails) > CACHE_WORDS:
+            tails.clear()
+        new = list({tail for _, _, tail in plain}.difference(tails))
+        tails.update(zip(new, self._encode(new), strict=True))
         for piece, low, tail in plain:
-            known[piece] = cores[low] + own[tail] if tail else cores[low]
-        for piece in rest:
-            known[piece] = own[piece]
+            known[piece] = cores[low] + tails[tail] if tail else cores[low]
+        known.update(zip(rest, self._encode(rest), strict=True))
+
+    def _lower(self, text: str) -> str:
+        """The text in lower case, as the normalizer makes it, where that is certain: Latin-1 without the mark of added tokens, which count as they stand."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if any(t in text for t in self.marks) else text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.whole:
             return self._encode(texts)
-        split = [NOT_SPACE(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        split = [NOT_SPACE(t) if any(c in t for c in SEPARATORS) else t.split() for t in map(self._lower, texts)]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         missing = set().union(*split).difference(self.known)
