@@ -31,12 +31,14 @@ DIVISOR = 3
 #: A repeated run of lines with so many words goes whole.
 RUN_WORDS = 50
 #: Chunks and runs handed over at once by a Python worker, and bytes of bodies.
-ROWS, BYTES = 50_000, 16 << 20
+ROWS, BYTES = 20_000, 4 << 20
 #: Repeated hashes that are broadcast to the second reading; more of them meet the bodies by a shuffle.
 SENT_HASHES = 500_000
-MASK = (1 << 64) - 1
+MASK, FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Letters of scripts that put no space between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: Words and what may end them: then words of letters and digits are those between white space.
+PLAIN_ASCII = re.compile("(?:[A-Za-z0-9]+[.,;:!?]*(?:[ \t]+|$))*+").fullmatch
 #: So many of them count as a word.
 UNSPACED_A_WORD = 2
 
@@ -45,19 +47,19 @@ def n_words(line: str) -> int:
     """Words between white space, or of letters and digits, or by the length in characters where the script has no spaces: the most of these."""
     n = len(line.split())
     if line.isascii():
-        return max(n, len(line.encode().translate(WORD_BYTES).split()))
+        return n if PLAIN_ASCII(line) else max(n, len(line.encode().translate(WORD_BYTES).split()))
     return max(n, len(line.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()), len(UNSPACED.findall(line)) // UNSPACED_A_WORD)
 
 
 def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk, in order; they cover all lines."""
     out: list[tuple[int, int]] = []
-    start, recent = 0, [0] * WINDOW
+    start, rolled, hashes = 0, 0, [0] * WINDOW
+    leaves = pow(FACTOR, WINDOW, 1 << 64)
     for i, line in enumerate(lines):
-        recent = [*recent[1:], xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & MASK
+        h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+        rolled = (rolled * FACTOR + h - hashes[i % WINDOW] * leaves) & MASK
+        hashes[i % WINDOW] = h
         if (rolled >> 32) % DIVISOR == 0:
             out.append((start, i + 1))
             start = i + 1
