@@ -23,7 +23,7 @@ class Smooth:
 
     x: a column, or a pair of columns whose difference counts, once both have values. a: a number or a column.
     seed: the mean of the first `start` values (x null before that is skipped), or with start = 0 the first value
-    itself. divide: the step is ((n - 1) * y + x) / n instead, with n = divide.
+    itself. divide: the step is ((n - 1) * y + x) / n instead, with n = divide. least: the least value of a column a.
     """
 
     out: str
@@ -31,6 +31,7 @@ class Smooth:
     a: float | str | None = None
     start: int = 0
     divide: int | None = None
+    least: float = 0.0
 
 
 def _step(spec: Smooth, x: np.ndarray, a, state: list) -> np.ndarray:

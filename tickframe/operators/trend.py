@@ -98,7 +98,7 @@ def _kama(p: dict, t) -> Steps:
     er = F.least(ratio(change, F.sum(t("move")).over(trailing(n)), 1.0), F.lit(1.0))
     sc = F.pow(F.col(t("er")) * F.lit(fast - slow) + F.lit(slow), F.lit(2.0))
     pre = [{t("move"): F.abs(x - F.lag(x, 1).over(series()))}, {t("er"): er}, {t("x"): F.when(row() > n, x.cast("double")), t("a"): sc}]
-    return Steps(row() > n, {"value": F.col(t("y")), "efficiency_ratio": F.round(F.col(t("er")), 4)}, pre, [Smooth(t("y"), t("x"), t("a"), 0)])
+    return Steps(row() > n, {"value": F.col(t("y")), "efficiency_ratio": F.round(F.col(t("er")), 4)}, pre, [Smooth(t("y"), t("x"), t("a"), 0, least=slow**2)])
 
 
 register(
