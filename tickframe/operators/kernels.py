@@ -70,17 +70,17 @@ def run_kernels(df: DataFrame, specs: list[Smooth]) -> DataFrame:
     def run(batches):
         symbol, states = None, []
         for batch in batches:
-            keys = batch.column(names.index("symbol"))
-            keys = keys.to_pylist()
+            told = batch.column(names.index("symbol")).dictionary_encode(null_encoding="encode")
+            keys, found = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
             values = {c: np.array(batch.column(names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64) for c in reads}
             for s in specs:
                 values[s.out] = np.full(len(keys), np.nan)
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
                     continue
-                if not states or keys[lo] != symbol:
-                    symbol, states = keys[lo], [[0, 0.0, None] for _ in specs]
+                if not states or found[keys[lo]] != symbol:
+                    symbol, states = found[keys[lo]], [[0, 0.0, None] for _ in specs]
                 for s, state in zip(specs, states, strict=True):
                     x = values[s.x][lo:hi] if isinstance(s.x, str) else values[s.x[0]][lo:hi] - values[s.x[1]][lo:hi]
                     a = values[s.a][lo:hi] if isinstance(s.a, str) else s.a

@@ -23,7 +23,12 @@ FORGOTTEN = 2.0**-60
 #: Sums over all rows before: no context stands for them.
 RUNNING = ("obv", "vwap", "accumulation_distribution")
 
-KEYS = ("symbol", "__day", "__part")
+KEYS = ("__name", "__day", "__part")
+
+
+def named(symbol: Column) -> Column:
+    """A symbol as a text that is never null."""
+    return F.concat_ws(":", symbol.isNull().cast("int"), symbol)
 
 
 def forgets(spec: Smooth) -> int:
@@ -45,15 +50,16 @@ def numbered(bars: DataFrame, counts: Column, bucket: int = BUCKET_SECONDS) -> D
 
     One task sees the rows of a bucket of time, and one row per bucket of a series. Rows without ts are cut by seq.
     """
+    first = F.lit(-(2**62))
     day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket * 1_000_000))
-    cut = bars.withColumns({"__day": day, "__part": F.when(F.col("ts").isNull(), F.floor(F.col("seq") / F.lit(RANGE_ROWS))), "__one": counts.cast("long")})
+    part = F.when(F.col("ts").isNotNull(), F.lit(0)).otherwise(F.coalesce(F.floor(F.col("seq") / F.lit(RANGE_ROWS)), first))
+    # Keys without nulls: the join below then finds the rows dealt as the window has dealt them.
+    cut = bars.withColumns({"__name": named(F.col("symbol")), "__day": F.coalesce(day, first), "__part": part, "__one": counts.cast("long")})
     inside = Window.partitionBy(*KEYS).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("symbol").orderBy(*KEYS[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*KEYS).agg(F.sum("__one").alias("__all"))
-    totals = totals.select(*[F.col(k).alias(f"{k}_b") for k in KEYS], F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__before"))
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in KEYS]
-    told = cut.withColumn("__in", F.sum("__one").over(inside)).join(totals, same)
-    return told.withColumn("__n", F.col("__in") + F.col("__before")).drop(*KEYS[1:], "__one", "__in", "__before", *[f"{k}_b" for k in KEYS])
+    earlier = Window.partitionBy("__name").orderBy(*KEYS[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*KEYS).agg(F.sum("__one").alias("__all")).select(*KEYS, F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__before"))
+    told = cut.withColumn("__in", F.sum("__one").over(inside)).join(totals, list(KEYS))
+    return told.withColumn("__n", F.col("__in") + F.col("__before")).drop(*KEYS, "__one", "__in", "__before")
 
 
 def calculate_in_ranges(name: str, bars: DataFrame, rows: int = RANGE_ROWS, bucket: int = BUCKET_SECONDS, **params) -> DataFrame:
@@ -77,8 +83,9 @@ def calculate_in_ranges(name: str, bars: DataFrame, rows: int = RANGE_ROWS, buck
     told = numbered(bars.select("symbol", "ts", "seq", *needs), whole, bucket).withColumn("__own", own)
     late = F.col("__n") > (F.col("__own") + 1) * rows - before
     told = told.withColumn("__range", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
-    told = told.withColumn("__series", F.col("symbol")).withColumn("symbol", F.concat_ws(":", "__range", F.col("symbol").isNull().cast("int"), "symbol"))
+    kept = (F.col("__own") == F.col("__range")).alias("__kept")
+    told = told.select(F.concat_ws(":", "__range", named(F.col("symbol"))).alias("symbol"), "ts", "seq", *needs, F.col("symbol").alias("__series"), kept)
     df, found = plan(told, [("x", name, params)])
     ready, columns = found["x"]
-    shown = df.filter(ready & (F.col("__own") == F.col("__range")))
+    shown = df.filter(ready & F.col("__kept"))
     return shown.select(F.col("__series").alias("symbol"), "ts", "seq", *[F.col(f"`{c}`").alias(c.split(".", 1)[1]) for c in columns])
