@@ -294,6 +294,29 @@ UNSAFE = f"""{FLAWED} SELECT symbol, seq, CASE WHEN open IS NULL OR high IS NULL
   WHEN high < greatest(open, close) OR low > least(open, close) THEN 'range'
   WHEN ts IS NULL OR ts < TIMESTAMP '{NOW}' - INTERVAL 365 DAY OR ts > TIMESTAMP '{NOW}' + INTERVAL 1 DAY THEN 'timestamp' END AS unsafe FROM d"""
 
+ITEMS = """items AS (
+  SELECT 'items' AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS item, CAST(l_extendedprice AS DECIMAL(18, 4)) AS x,
+         row_number() OVER (ORDER BY l_shipdate, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) AS rn
+  FROM lineitem)"""
+
+
+def items_sma(n: int) -> str:
+    total = f"sum(x) OVER (ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"WITH {ITEMS}\nSELECT symbol, ts, item, round(CAST({total} AS DOUBLE) / {n} + 2.3e-7, 3) + 0.0 AS value FROM items QUALIFY rn >= {n}"
+
+
+def items_ema(n: int) -> str:
+    """The recurrence written out as a weighted sum of the last 400 values, and the first mean with what weight it has left."""
+    a, kept = f"(2.0::DOUBLE / {n + 1})", f"({n - 1}.0::DOUBLE / {n + 1})"
+    return f"""WITH {ITEMS},
+seed AS (SELECT CAST(sum(x) AS DOUBLE) / {n} AS y FROM items WHERE rn <= {n}),
+terms AS (
+  SELECT t.rn, sum({a} * pow({kept}, j.j) * CAST(p.x AS DOUBLE)) AS y
+  FROM items t, (SELECT unnest(range(400)) AS j) j, items p WHERE p.rn = t.rn - j.j AND p.rn > {n} GROUP BY t.rn)
+SELECT symbol, ts, item, round(coalesce(terms.y, 0) + pow({kept}, rn - {n}) * seed.y + 2.3e-7, 3) + 0.0 AS value
+FROM items LEFT JOIN terms USING (rn), seed WHERE rn >= {n}"""
+
+
 ORACLES: dict[str, str] = {
     "bars_hourly": f"WITH {BARS} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
     "bars_user_daily": f"WITH {USER_BARS} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
@@ -303,6 +326,8 @@ ORACLES: dict[str, str] = {
     "sma_users": levels([f"avg(close) {last(5)} AS v"], "rn >= 5", [r6("v", "value")], USER_BARS),
     "sma_orders": levels([f"avg(close) {last(20)} AS v"], "rn >= 20", [r6("v", "value")], ORDER_BARS),
     "ema_sma": ema(12),
+    "sma_items": items_sma(20),
+    "ema_items": items_ema(12),
     "ema_first": ema(12, first=True),
     "wma": levels([f"{wma('close', 20)} AS v"], "rn >= 20", [r6("v", "value")]),
     "hma": levels([f"CASE WHEN rn >= 14 THEN 2 * {wma('close', 7)} - {wma('close', 14)} END AS raw", f"{wma('raw', 4)} AS v"], "rn >= 17", [r6("v", "value")]),

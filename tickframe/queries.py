@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from . import security
 from .functions import exprs
-from .operators import REGISTRY, calculate, quality
+from .operators import REGISTRY, calculate, calculate_in_ranges, quality
 from .oracles import NOW, ORACLES
 from .plans.pipeline import Pipeline, latest, merge
 from .session import work_dir
-from .sources.bars import bars_hourly, bars_orders_daily, bars_user_daily, canonicalize, from_rows, stream_bars, valid_bar, valid_result
+from .sources.bars import bars_hourly, bars_orders_daily, bars_user_daily, canonicalize, from_rows, line_items, stream_bars, valid_bar, valid_result
 from .streaming.incremental import ROCKSDB, stream_pipeline
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,16 @@ def indicator(name: str, bars: Source = bars_hourly, **params) -> Source:
     return lambda spark, sf_dir: rounded(calculate(name, bars(spark, sf_dir), **params))
 
 
+def long_series(name: str, **params) -> Source:
+    """An indicator over all line items as one series, in ranges; to 3 decimals, since sums of many terms differ in their last bits."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = calculate_in_ranges(name, line_items(spark, sf_dir), **params)
+        return got.select("symbol", "ts", F.col("seq").alias("item"), (F.round(F.col("value") + F.lit(2.3e-7), 3) + F.lit(0.0)).alias("value"))
+
+    return run
+
+
 def per_row(value: Callable[[], F.Column], least: int = 1) -> Source:
     """A row-level expression over hourly bars, from the least-th row of each series."""
 
@@ -173,6 +183,8 @@ QUERIES: dict[str, Source] = {
     "sma_orders": indicator("sma", bars_orders_daily),
     "ema_sma": indicator("ema"),
     "ema_first": indicator("ema", initialization="first_value"),
+    "sma_items": long_series("sma"),
+    "ema_items": long_series("ema"),
     "wma": indicator("wma"),
     "hma": indicator("hma"),
     "kama": indicator("kama"),

@@ -112,6 +112,13 @@ def bars_user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "value", "day", "event_id")
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as one long series of closes, by shipping date, order, line and price (lines repeat in an order)."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
+    return canonicalize(items.select("l_shipdate", F.col("l_extendedprice").alias("close"), seq.cast("long").alias("seq")), {"ts": "l_shipdate"}, "items")
+
+
 def bars_orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of order totals per priority; orders of a day go by their key."""
     return bars_from_ticks(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority", "o_orderdate", "o_totalprice", "day", "o_orderkey")
