@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.fixture(scope="module")
 def db(sf):
     c = duckdb.connect()
-    for t in ("events", "orders", "part"):
+    for t in ("events", "lineitem", "orders", "part"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
