@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -532,3 +535,49 @@ def test_components(spark, monkeypatch, hot):
     got = {r.node[0]: r.root[0] for r in set_join.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert all(got[91 + i] == 90 for i in range(60))
     assert [got[x] for x in (1, 2, 3, 4, 7, 8, 9, 20, 21)] == [1, 1, 1, 1, 7, 7, 7, 20, 20] and all(got[40 + i] == 40 for i in range(41))
+
+
+class Caught:
+    """Stands for a table; keeps what an operator would run on its batches."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, *names):
+        return self
+
+    agg = groupBy
+
+
+def test_counting_features_takes_little_memory(spark):
+    """A Python worker counts up to COUNTED features at once; each takes its key, its place and five numbers, not objects for all of them."""
+    batches = [pa.record_batch([pa.array([i % 2 == 0 for i in range(100)]), pa.array([" ".join(f"w{k}x{n}" for k in range(100)) for n in range(100)])], ["positive", "text"])]
+    caught = toxicity._counts(Caught())
+    tracemalloc.start()
+    [told] = caught.run(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sums = {w: (held, p, pp, u, uu) for w, held, p, pp, u, uu in zip(*(c.to_pylist() for c in told.columns), strict=True)}
+    x = 100 / 200
+    assert sums[b"<w3x8>"] == (1, x, x * x, 0, 0) and sums[b"<w3x9>"] == (0, 0, 0, x, x * x) and len(sums) > 10_000
+    assert peak / len(sums) < 330, peak / len(sums)
+
+
+def test_a_task_gives_its_memory_back():
+    """Freed blocks below one that stays go back to the system when a task ends, not only when the worker does."""
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    kept = []
+
+    def run(batches):
+        blocks = [np.ones(10_000) for _ in range(4_000)]
+        kept.append(np.ones(10_000))
+        blocks.clear()
+        yield from batches
+
+    before = held()
+    assert list(common.tidied(run)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 100

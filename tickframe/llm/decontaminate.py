@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, words_of
+from .common import settle, tidied, words_of
 
 WINDOW = 10
 #: Characters of a benchmark that is sent as an index.
@@ -67,7 +67,7 @@ def _rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> Counter:
                 total.update(sent.value.intersection(words_of(text.as_py())))
         yield pa.record_batch([pa.array(list(total.keys()), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return Counter({bytes(r.word): r.n for r in rows})
 
 
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], RESULT.replace(",", "").split()[::2])
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(tidied(run), RESULT)
 
 
 def _bit(word: bytes) -> int:
@@ -140,7 +140,7 @@ def _bitmap(words: DataFrame):
             seen.update(_bit(w.encode()) for w in batch.column("word").to_pylist())
         yield pa.record_batch([pa.array(sorted(seen), pa.int64())], ["bit"])
 
-    found = words.select("word").mapInArrow(bits, "bit long").distinct().toArrow().column("bit").to_numpy()
+    found = words.select("word").mapInArrow(tidied(bits), "bit long").distinct().toArrow().column("bit").to_numpy()
     flags = np.zeros(1 << WORD_BITS, bool)
     flags[found] = True
     return words.sparkSession.sparkContext.broadcast(np.packbits(flags, bitorder="little").tobytes())
@@ -154,7 +154,7 @@ def _hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
             rows = [(item, [x.decode() for x in w]) for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True) for w in sorted(windows_of(text.as_py(), window))]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["item_id", "words"])
 
-    items = settle(benchmark.mapInArrow(cut, "item_id string, words array<string>").distinct())
+    items = settle(benchmark.mapInArrow(tidied(cut), "item_id string, words array<string>").distinct())
     windows = settle(items.select("words").distinct())
     each = windows.select("words", F.posexplode("words").alias("at", "word"))
     wanted = _bitmap(each)
@@ -169,7 +169,7 @@ def _hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
                     total.clear()
         yield pa.record_batch([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    rarity = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rarity = docs.select("text").mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     salted = rarity.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a common word of many windows is met in parts
     ranked = each.withColumn("salt", F.expr(f"pmod(xxhash64(words), {SALT})").cast("int")).join(salted, ["word", "salt"], "left")
     prefix = settle(ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("rare")).select("words", "rare.word", "rare.at"))
@@ -194,7 +194,7 @@ def _hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["doc_id", "own", "place", "word", "left", "right"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
-    probed = keyed.mapInArrow(places, "doc_id long, own long, place int, word string, left array<string>, right array<string>")
+    probed = keyed.mapInArrow(tidied(places), "doc_id long, own long, place int, word string, left array<string>, right array<string>")
     probed = probed.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, place), {SALT})").cast("int"))
     spread = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     met = probed.join(spread, ["word", "salt"]).filter((F.size("left") >= F.col("at")) & (F.size("right") >= F.size("words") - F.col("at")))  # position and length
@@ -213,7 +213,7 @@ def _told_by_join(docs: DataFrame, hits: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array([len(words_of(t.as_py())) for t in batch.column("text")], pa.int64())], ["doc_id", "own", "n_words"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("own"), "text").mapInArrow(count, "doc_id long, own long, n_words long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("own"), "text").mapInArrow(tidied(count), "doc_id long, own long, n_words long")
     joined = rows.join(reduced, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -242,4 +242,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
             clean = [not probe(words_of(t.as_py()), sent.value)[0] for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(tidied(keep), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, fresh, join_counted, release, settle
+from .common import WORD_BYTES, fresh, join_counted, release, settle, tidied
 
 WINDOW = 2
 DIVISOR = 3
@@ -142,7 +142,7 @@ def _parts(docs: DataFrame, runs: bool, bodies: bool, hashed: Callable[[bytes],
                     cols, size = [[] for _ in names], 0
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return _keyed(docs).mapInArrow(emit, "doc_id long, own long, a int, b int, hash binary" + (", body binary" if bodies else ""))
+    return _keyed(docs).mapInArrow(tidied(emit), "doc_id long, own long, a int, b int, hash binary" + (", body binary" if bodies else ""))
 
 
 def _place() -> Column:
@@ -222,7 +222,7 @@ def _without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), texts)
             yield batch.select(range(len(names)))
 
-    return flat.mapInArrow(take_out, docs.schema)
+    return flat.mapInArrow(tidied(take_out), docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

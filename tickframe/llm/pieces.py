@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .token_blocks import text_batches
 
 SPACE = "▁"
@@ -299,7 +300,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_ids", "ids_crc32", "exact", "ids"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids array<int>")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -311,4 +312,4 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = [None if not x.is_valid else pieces.decode(np.array(x.as_py(), np.int64)) for x in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")

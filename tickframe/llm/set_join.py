@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, fresh, join_counted, release, settle, shuffle_partitions, words_of
+from .common import HOT_KEYS, fresh, join_counted, release, settle, shuffle_partitions, tidied, words_of
 
 NGRAM = 5
 THRESHOLD = (4, 5)  # similarity of at least 4 / 5
@@ -94,7 +94,7 @@ def _texts(docs: DataFrame, runs: int) -> DataFrame:
                 paths.append(np.concatenate([lowest(tokens, s) for s in seeds]).astype(np.int64))
             yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "own", "digest", "n", "paths"])
 
-    return settle(rows.mapInArrow(sketch, "doc_id long, own long, digest binary, n int, paths array<bigint>"))
+    return settle(rows.mapInArrow(tidied(sketch), "doc_id long, own long, digest binary, n int, paths array<bigint>"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _children(big: DataFrame, sets: DataFrame) -> DataFrame:
                     sizes.append(len(tokens.as_buffer()) // 8)
             yield pa.record_batch([pa.array(paths, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["path", "digest", "n"])
 
-    return big.join(sets, "digest").select("path", "digest", "tokens").mapInArrow(split, "path long, digest binary, n int")
+    return big.join(sets, "digest").select("path", "digest", "tokens").mapInArrow(tidied(split), "path long, digest binary, n int")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, whole: bool) -> list[tuple[int, int]]:
@@ -232,7 +232,7 @@ def _verify(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         if done:
             yield batch_of(done)
 
-    return laid.mapInArrow(run, "digest binary, links long, root binary")
+    return laid.mapInArrow(tidied(run), "digest binary, links long, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def join_sets(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFram
         for batch in batches:
             yield pa.record_batch([batch.column("digest"), pa.array([tokens_of(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["digest", "tokens"])
 
-    sets = again.mapInArrow(sets_of, "digest binary, tokens binary")
+    sets = again.mapInArrow(tidied(sets_of), "digest binary, tokens binary")
     if not texts.groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["digest"])  # rows that repeat id and text
     sets = settle(sets)

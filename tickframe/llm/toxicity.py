@@ -13,6 +13,7 @@ all labels and documents; every feature of the sample's whole texts is considere
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, settle, words_of
+from .common import fold_of, settle, tidied, words_of
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -144,30 +145,33 @@ def _counts(texts: DataFrame) -> DataFrame:
     names = ["word", "held", "p", "pp", "u", "uu"]
 
     def count(batches):
-        sums: dict[bytes, list[float]] = {}
+        places: dict[bytes, int] = {}
+        sums = array("d")  # five numbers for each feature, by its place
 
         def told():
-            cols = [list(sums), *map(list, zip(*sums.values(), strict=True))] if sums else [[]] * len(names)
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.binary(), *[pa.float64()] * 5], strict=True)], names)
+            cols = np.asarray(sums, np.float64).reshape(-1, 5)
+            return pa.record_batch([pa.array(list(places), pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names)
 
-        find = Finder(None)
+        find, zeros = Finder(None), [0.0] * 5
         for batch in batches:
             for positive, text in zip(batch.column("positive").to_pylist(), batch.column("text"), strict=True):
                 for f, x in find(text.as_py()).items():
-                    own = sums.setdefault(f, [0.0] * 5)
+                    at = places.setdefault(f, len(sums))
+                    if at == len(sums):
+                        sums.extend(zeros)
                     if positive:
-                        own[0] += 1
-                        own[1] += x
-                        own[2] += x * x
+                        sums[at] += 1
+                        sums[at + 1] += x
+                        sums[at + 2] += x * x
                     else:
-                        own[3] += x
-                        own[4] += x * x
-                if len(sums) > COUNTED:
+                        sums[at + 3] += x
+                        sums[at + 4] += x * x
+                if len(places) > COUNTED:
                     yield told()
-                    sums.clear()
+                    places, sums = {}, array("d")
         yield told()
 
-    rows = texts.mapInArrow(count, "word binary, held double, p double, pp double, u double, uu double")
+    rows = texts.mapInArrow(tidied(count), "word binary, held double, p double, pp double, u double, uu double")
     return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
@@ -209,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [{place[f]: x for f, x in find(t.as_py()).items()} for t in batch.column("text")]
             yield pa.record_batch([batch.column("positive"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))], ["positive", "cols", "xs"])
 
-    sample = texts.mapInArrow(index, "positive boolean, cols array<int>, xs array<double>").toArrow()  # the bounded sample
+    sample = texts.mapInArrow(tidied(index), "positive boolean, cols array<int>, xs array<double>").toArrow()  # the bounded sample
     features = [dict(zip(c.as_py(), x.as_py(), strict=True)) for c, x in zip(sample.column("cols"), sample.column("xs"), strict=True)]
     positive = np.array(sample.column("positive").to_pylist(), bool)
     if not positive.any() or positive.all():
@@ -229,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = np.array([score(t.as_py()) for t in batch.column("text")], np.float64)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,4 +246,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = [score(t.as_py()) < THRESHOLD for t in batch.column("text")]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
