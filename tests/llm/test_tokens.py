@@ -129,3 +129,18 @@ def test_empty_tables(messy, tmp_path):
     none = messy.limit(0)
     assert token_blocks.encode_corpus(none, WORDS, 2, str(tmp_path / "t")).count() == 0
     assert pieces.encode(none, PIECES).count() == 0
+
+
+def test_words_of_odd_white_space_equal_the_library():
+    """White space that only some splitters know, stops alone, upper case beside other scripts, and added tokens inside words."""
+    own = token_blocks.WordEncoder(WORDS)
+    texts = [" The\xa0Cat.\x85sat\x1con Ürük!? ", "漢字 The END... «x» it's 3,5. ...", "a<|endoftext|>B. The", "", "  ", "word", "WORD. word, Word;!"]
+    for some in (texts, texts[::-1], []):
+        wanted = [e.ids for e in own.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == wanted
+
+
+def test_plain_words_with_stops_take_one_place_in_the_cache():
+    own = token_blocks.WordEncoder(WORDS)
+    own.encode(["apple apple, Apple. APPLE! pear; it's 7"])
+    assert set(own.cores) == {"apple", "pear"} and set(own.known) == {"it's", "7"}

@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,14 @@ from .common import new_path, shuffle_partitions
 BLOCK = 128
 PERCENTILE = 0.9
 ROW_IDS = 65_536
-#: Pieces of text, and lower-case words in them, that a Python worker keeps between batches; a cache is emptied beyond that.
+#: Pieces of text that are not plain words, and plain lower-case words, that a Python worker keeps between batches; a cache is emptied beyond that.
 CACHE_PIECES = 500_000
 CACHE_WORDS = 900_000
 #: Documents of a shard, about.
 SHARD_DOCS = 200_000
 #: Plain letters, each with one lower-case form, and the stops that may follow a word of them.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = "".join(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
 STOPS = ".,;:!?"
-#: str.split() takes these for white space; the tokenizer does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 NOT_SPACE = re.compile("[^ \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 
 TABLE_SCHEMA = "shard int, seq int, first long, n_ids int, doc_ids array<bigint>, doc_lens array<int>, blocks binary"
@@ -123,12 +122,20 @@ CUT_AT_SPACE = {
 }
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each start and size, one after another."""
+    at = np.arange(int(sizes.sum()))
+    at += np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return values[at]
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer file whose pre-tokenizer drops white space and never joins text across it.
 
-    A text's ids are then those of its white-space-separated pieces, one after another, so each distinct piece is
-    encoded once per worker while the cache holds it. Pieces of plain letters are encoded many to a call and told
-    apart by the vocabulary's word-end suffix. A file with any other normalizer or pre-tokenizer than CUT_AT_SPACE is
+    A text's ids are then those of its white-space-separated pieces, one after another. Arrow numbers the distinct pieces
+    of a batch; a plain word is encoded once per worker while the cache holds it, apart from the stops after it. Words of
+    plain letters are encoded many to a call and told apart by the vocabulary's word-end suffix. A batch's ids are then
+    gathered by these numbers. A file with any other normalizer or pre-tokenizer than CUT_AT_SPACE is
     recognised when it is loaded, and whole texts are given to the library.
     """
 
@@ -152,68 +159,76 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _learn_cores(self, cores: list[str]) -> list[bytes]:
+        """The ids of words of plain lower-case letters."""
+        if not self.ends.any():
+            return self._encode(cores)
+        found: list[bytes] = []
         for at in range(0, len(cores), 20_000):
             part = cores[at : at + 20_000]
-            found: list[bytes] = []
-            if self.ends.any():
-                lines = [part[k : k + 200] for k in range(0, len(part), 200)]
-                for line, enc in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-                    ids = np.array(enc.ids, "<u4")
-                    cuts = np.nonzero(self.ends[ids])[0] + 1
-                    if len(cuts) == len(line):
-                        found += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-                    else:
-                        found += self._encode(line)
-            else:
-                found = self._encode(part)
-            self.cores.update(zip(part, found, strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces: letters and a closing run of stops are separate words to the pre-tokenizer."""
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        cores, known, tails = self.cores, self.known, self.tails
-        plain: list[tuple[str, str, str]] = []
-        rest: list[str] = []
-        for piece in pieces:
-            core = piece.rstrip(STOPS)
-            ids = cores.get(core)
-            if ids is not None and (core is piece or piece[len(core) :] in tails):
-                known[piece] = ids if core is piece else ids + tails[piece[len(core) :]]
-            elif core.isalpha() and (core.isascii() or LETTERS(core)):
-                plain.append((piece, core.lower(), piece[len(core) :]))
-            else:
-                rest.append(piece)
-        self._learn_cores(list({low for _, low, _ in plain}.difference(cores)))
-        if len(tails) > CACHE_WORDS:
-            tails.clear()
-        new = list({tail for _, _, tail in plain}.difference(tails))
-        tails.update(zip(new, self._encode(new), strict=True))
-        for piece, low, tail in plain:
-            known[piece] = cores[low] + tails[tail] if tail else cores[low]
-        known.update(zip(rest, self._encode(rest), strict=True))
-
-    def _lower(self, text: str) -> str:
-        """The text in lower case, as the normalizer makes it, where that is certain: Latin-1 without the mark of added tokens, which count as they stand."""
+            lines = [part[k : k + 200] for k in range(0, len(part), 200)]
+            for line, enc in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array(enc.ids, "<u4")
+                cuts = (np.nonzero(self.ends[ids])[0] + 1).tolist()
+                if len(cuts) == len(line):
+                    raw = ids.tobytes()
+                    found += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+                else:
+                    found += self._encode(line)
+        return found
+
+    def _spaced(self, text: str) -> str:
+        """The text with ASCII white space alone, and in lower case as the normalizer makes it, where that is certain: Latin-1 without the mark of added tokens, which count as they stand."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text
-        return text if any(t in text for t in self.marks) else text.lower()
+            return " ".join(NOT_SPACE(text))
+        if not any(t in text for t in self.marks):
+            text = text.lower()
+        return " ".join(NOT_SPACE(text)) if "\x85" in text or "\xa0" in text else text
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after another, and how many each has: letters and a closing run of stops are separate words to the pre-tokenizer."""
+        for cache, most in ((self.known, CACHE_PIECES), (self.cores, CACHE_WORDS), (self.tails, CACHE_WORDS)):
+            if len(cache) > most:
+                cache.clear()
+        core = pc.ascii_rtrim(pieces, characters=STOPS)
+        plain = pc.match_substring_regex(core, f"^[{LETTERS}]+$")
+        words = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        ends = pc.utf8_ltrim(pieces.filter(plain), characters=LETTERS).dictionary_encode()
+        low, tail, rest = (x.to_numpy(zero_copy_only=False).tolist() for x in (words.dictionary, ends.dictionary, pieces.filter(pc.invert(plain))))
+        parts: list[bytes] = []
+        for cache, own, learn in ((self.cores, low, self._learn_cores), (self.tails, tail, self._encode), (self.known, rest, self._encode)):
+            found = list(map(cache.get, own))
+            new = [at for at, x in enumerate(found) if x is None]
+            told = learn([own[at] for at in new])
+            for at, x in zip(new, told, strict=True):
+                found[at] = cache[own[at]] = x
+            parts += found
+        parts.append(b"")
+        # Each piece is two parts: its letters and its stops, or all of it and nothing.
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pair = np.full((len(pieces), 2), len(parts) - 1)
+        pair[is_plain, 0] = words.indices.to_numpy()
+        pair[is_plain, 1] = ends.indices.to_numpy() + len(low)
+        pair[~is_plain, 0] = np.arange(len(rest)) + len(low) + len(tail)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        return ragged(np.frombuffer(b"".join(parts), "<u4"), start[pair.reshape(-1)], size[pair.reshape(-1)]), size[pair].sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.whole:
             return self._encode(texts)
-        split = [NOT_SPACE(t) if any(c in t for c in SEPARATORS) else t.split() for t in map(self._lower, texts)]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        split = pc.ascii_split_whitespace(pa.array(map(self._spaced, texts), pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids, size = self._ids_of(coded.dictionary)
+        which = coded.indices.to_numpy()
+        start = np.cumsum(size) - size
+        size = size[which]
+        found = ragged(ids, start[which], size)
+        cuts = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy()].tolist()
+        return [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
