@@ -70,6 +70,55 @@ def test_a_megabyte_without_spaces_takes_seconds():
         assert own.decode(np.frombuffer(got, "<u4")) == text
 
 
+def test_a_join_renews_two_pairs(monkeypatch):
+    """Relaxing looks up each neighbouring pair once, and two more for each join; not all pairs again in every round."""
+    own, looked, r = pieces.model(PIECES), [], random.Random(11)
+    plain = pieces.PieceModel._ranks
+
+    def counted(*args):
+        found = plain(*args)
+        looked.append(len(found))
+        return found
+
+    monkeypatch.setattr(pieces.PieceModel, "_ranks", counted)
+    texts = ["".join(r.choices("einstra", k=50)) for _ in range(200)]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == own.processor.encode(texts)
+    assert sum(looked) <= 3 * sum(len(t) + 1 for t in texts)
+
+
+def test_pieces_take_little_more_time_than_the_library(documents):
+    own, texts = pieces.model(PIECES), [d.text or "" for d in documents.select("text").collect()]
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work(texts)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(own.encode) < 1.5 * least(own.processor.encode)
+
+
+def test_units_that_begin_alike_equal_the_library():
+    """Pieces beside their beginnings and continuations in one suffix array: those that agree in its first number's characters too."""
+    own, r = pieces.model(PIECES), random.Random(7)
+    some = r.sample([own.processor.id_to_piece(i).replace("▁", " ") for i in own.ids[own.lengths > 4].tolist()], 3000)
+    texts = [t for p in some for t in (p, p[:-1], p + "s", p + r.choice(some), p + "é漢\n")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == own.processor.encode(texts)
+
+
+@given(st.lists(st.text(max_size=40) | st.text("ab ▁\n.é", max_size=40), max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_texts_decoded_together_equal_those_decoded_alone(texts):
+    own = pieces.model(PIECES)
+    ids, ends = own.encode_all([t.encode() for t in texts])
+    assert len(ends) == len(texts) and (ends[-1] if texts else 0) == len(ids)
+    alone = [own.decode(x).encode() for x in np.split(ids, ends[:-1])] if texts else []
+    assert own.decode_all(ids, ends) == alone
+
+
 def check_table(rows, docs):
     tokenizer = Tokenizer.from_file(WORDS)
     found = sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.ids_crc32) for r in rows)

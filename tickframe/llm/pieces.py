@@ -2,20 +2,19 @@
 
 The distinct units of a batch (runs of spaces with what follows them; no piece reaches over their ends) are joined to
 one text. A suffix array over it, sorted as far as the longest piece, gives every piece's occurrences as a range found
-by binary search. The occurrences are edges from place to place, sorted by position. Where no edge covers a border
+by binary search. The occurrences are edges, kept in a table by place and length. Where no edge covers a border
 between two characters nothing can join across it, so it cuts its unit into segments. Relaxing starts from single
 characters and joins, in every segment at once, the pair whose union has the best score (the leftmost of equals), until
-no union is a piece: that is the model's own order. Segments longer than LONG take the same steps from a heap, so time
-grows no faster than n log n with a unit's length.
+no union is a piece: that is the model's own order. A join renews the two pairs it touches and no others. Segments longer
+than LONG take the same steps from a heap, so time grows no faster than n log n with a unit's length. Units are numbered
+by Arrow, and the ids of all texts gathered by these numbers.
 
 Characters that are no piece become their bytes' pieces, or the unknown piece where the model has none.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -53,102 +52,157 @@ class PieceModel:
                 raise ValueError(f"units cannot be cut before spaces: piece {piece!r}")
         # Rank 0 has the best score; equal scores keep one rank, so that the leftmost wins among them.
         levels = {s: r for r, s in enumerate(sorted({s for _, s, _ in normal}))}
-        self.ids = np.array([i for _, _, i in normal], np.int64)
-        self.ranks = np.array([levels[s] for _, s, _ in normal], np.int64)
-        self.lengths = np.array([len(p) for p, _, _ in normal], np.int64)
-        self.longest = int(self.lengths.max())
-        self.chars = np.zeros((len(normal), self.longest), np.int64)
-        for row, (p, _, _) in enumerate(normal):
-            self.chars[row, : len(p)] = [ord(c) + 1 for c in p]
-        alone = np.nonzero(self.lengths == 1)[0]
-        self.singles = np.full(int(self.chars[alone, 0].max(initial=0)) + 2, -1, np.int64)
-        self.singles[self.chars[alone, 0]] = self.ids[alone]
+        alone = [(ord(p), i) for p, _, i in normal if len(p) == 1]
+        self.singles = np.full(max((c for c, _ in alone), default=0) + 2, -1, np.int64)
+        for c, i in alone:
+            self.singles[c] = i
+        # Row 0 is no piece; longer pieces have higher rows.
+        longer = sorted((x for x in normal if len(x[0]) > 1), key=lambda x: (len(x[0]), x[0]))
+        self.ids = np.array([-1, *(i for _, _, i in longer)], np.int64)
+        self.ranks = np.array([len(levels), *(levels[s] for _, s, _ in longer)], np.int64)
+        self.lengths = np.array([0, *(len(p) for p, _, _ in longer)], np.int64)
+        self.longest = max(int(self.lengths.max()), 1)
+        # Letters of these pieces count from 2 on, all other characters are 1, ends of units 0.
+        letters = sorted(set("".join(p for p, _, _ in longer)))
+        self.letters = np.ones(max(map(ord, letters), default=0) + 2, np.int64)
+        self.letters[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+        self.chars = np.zeros((len(self.ids), self.longest), np.int64)
+        for row, (p, _, _) in enumerate(longer, 1):
+            self.chars[row, : len(p)] = self.letters[[ord(c) for c in p]]
+        # As many letters as fit a number, and each row's least number and the one after its greatest.
+        self.bits = (len(letters) + 1).bit_length()
+        self.reach = min(62 // self.bits, self.longest)
+        self.low = np.zeros(len(self.ids), np.int64)
+        for t in range(self.reach):
+            self.low = self.low << self.bits | self.chars[:, t]
+        self.high = self.low + (1 << self.bits * (self.reach - np.minimum(self.lengths, self.reach)))
+        self.high[0] = self.low[0]
         self.raw = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
-        self._newline = np.array(self._fallback("\n"), "<u4").tobytes()
+        self.raw_array = pa.array(self.raw, pa.large_binary())
 
     # Encoding
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [UNITS(self.processor.normalize(t)) if t else [] for t in texts]
-        found = {"\n": self._newline}
-        units = sorted(set().union(*split) - found.keys())
-        first, size = 0, 0
-        for at, unit in enumerate(units):
-            size += len(unit) + 1
-            if size >= INDEX_CHARS or at + 1 == len(units):
-                self._match(units[first : at + 1], found)
-                first, size = at + 1, 0
-        get = found.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-    def _match(self, units: list[str], found: dict[str, bytes]) -> None:
-        # No unit but the line end alone holds a line end, so it can stand between units: as 0, with all else one up.
-        text = np.frombuffer("\n".join([*units, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
-        text[text == ord("\n") + 1] = 0
-        keys, which = self._edges(text)
-        starts, ends = self._relax(text, keys, which)
-        ids = self.singles[np.minimum(text[starts], len(self.singles) - 1)]
-        joined = np.nonzero(ends - starts > 1)[0]
-        ids[joined] = self.ids[which[np.searchsorted(keys, starts[joined] * (self.longest + 1) + ends[joined] - starts[joined])]]
-        borders = np.nonzero(text == 0)[0]
-        cuts = np.searchsorted(starts, borders)
-        plain = ids.astype("<u4").tobytes()
-        odd = np.concatenate([[0], np.cumsum(ids < 0)])
-        before = 0
-        for unit, cut in zip(units, cuts.tolist(), strict=True):
-            if odd[cut] == odd[before]:
-                found[unit] = plain[4 * before : 4 * cut]
-            else:
-                row = [x for i, s in zip(ids[before:cut].tolist(), starts[before:cut].tolist(), strict=True) for x in ([i] if i >= 0 else self._fallback(chr(text[s] - 1)))]
-                found[unit] = np.array(row, "<u4").tobytes()
-            before = cut
+        ids, ends = self.encode_all([t.encode("utf-8", "surrogatepass") for t in texts])
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all UTF-8 texts one after the other, and the place after each text's last one."""
+        normal = [self.processor.normalize(t) if t else b"" for t in texts]
+        data, ends = np.frombuffer(b"".join(normal), np.uint8), np.cumsum([len(t) for t in normal], dtype=np.int64)
+        if not len(data):
+            return np.zeros(0, "<u4"), ends
+        cuts = _unit_borders(data, ends)
+        units = _binary(cuts, data).dictionary_encode()
+        each = _binary(*self._encode_units(units.dictionary)).take(units.indices)
+        _, offsets, ids = each.buffers()
+        found = np.frombuffer(offsets, np.int64)[: len(each) + 1]
+        return np.frombuffer(ids, "<u4", found[-1] // 4), found[np.searchsorted(cuts, ends)] // 4
+
+    def _encode_units(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units one after the other, and the bytes before each unit's ids."""
+        _, offsets, data = units.buffers()
+        borders = np.frombuffer(offsets, np.int64)[: len(units) + 1]
+        data = np.frombuffer(data, np.uint8, borders[-1])
+        text = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[borders]  # before each unit
+        size = chars + np.arange(len(chars))
+        ids, counts, first = [], [], 0
+        while first < len(units):
+            last = min(int(np.searchsorted(size, size[first] + INDEX_CHARS)), len(units))
+            part, of_units = self._match(text[chars[first] : chars[last]], np.diff(chars[first : last + 1]))
+            ids.append(part)
+            counts.append(of_units)
+            first = last
+        return np.concatenate([[0], np.cumsum(np.concatenate(counts)) * 4]), np.concatenate(ids)
+
+    def _match(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units of these lengths, given as their characters one after the other, and how many each has."""
+        ends = np.cumsum(lengths + 1) - 1  # a place after each unit stands between it and the next
+        text = np.zeros(ends[-1] + 1, np.int64)
+        inside = np.ones(len(text), bool)
+        inside[ends] = False
+        text[inside] = chars
+        code = self.letters[np.minimum(text, len(self.letters) - 1)]
+        code[ends] = 0
+        edges, far = self._edges(code, np.repeat(ends, lengths + 1))
+        size = self._relax(edges, far)
+        size[ends] = 0
+        starts = np.nonzero(size)[0]
+        size = size[starts]
+        ids = self.ids[edges[starts * (self.longest + 1) + size]]
+        alone = np.nonzero(size == 1)[0]
+        ids[alone] = self.singles[np.minimum(text[starts[alone]], len(self.singles) - 1)]
+        counts = np.searchsorted(starts, ends)
+        odd = np.nonzero(ids < 0)[0]
+        if len(odd):
+            found, which = np.unique(text[starts[odd]], return_inverse=True)
+            instead = [self._fallback(chr(c)) for c in found.tolist()]
+            length = np.array([len(x) for x in instead])
+            many = np.ones(len(ids), np.int64)
+            many[odd] = length[which]
+            before = np.concatenate([[0], np.cumsum(many)])
+            ids = np.repeat(ids, many)
+            ids[_ranges(before[odd], many[odd])] = np.concatenate(instead)[_ranges((np.cumsum(length) - length)[which], length[which])]
+            counts = before[counts]
+        return ids.astype("<u4"), np.diff(counts, prepend=0)
 
     def _fallback(self, char: str) -> list[int]:
         ids = [int(self.byte_ids[b]) for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown] if min(ids) < 0 else ids
 
-    def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of pieces, by position and length: keys position * (longest + 1) + length, and the pieces' rows."""
-        suffixes = self._suffixes(text)
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(self.longest, np.int64)])
-        low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), n, np.int64)
-        for t in range(self.longest):
+    def _edges(self, code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece's row at place * (longest + 1) + length, 0 where none is, and the greatest length at each place."""
+        suffixes, packed = self._suffixes(code, ends)
+        low, high = np.searchsorted(packed, self.low), np.searchsorted(packed, self.high)
+        padded = np.concatenate([code, np.zeros(self.longest, np.int64)])
+        for t in range(self.reach, self.longest):
             live = np.nonzero((self.lengths > t) & (low < high))[0]
             if not len(live):
                 break
             c = self.chars[live, t]
             low[live], high[live] = (self._bound(suffixes, padded, t, c + up, low[live], high[live]) for up in (0, 1))
         count = high - low
-        count[self.lengths == 1] = 0  # single characters are told by a table
-        rows = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        # One number per edge, so that a plain sort does.
-        bits = len(self.ids).bit_length()
-        both = np.sort((suffixes[at] * (self.longest + 1) + self.lengths[rows]) << bits | rows)
-        return both >> bits, both & ((1 << bits) - 1)
-
-    def _suffixes(self, text: np.ndarray) -> np.ndarray:
-        """Places in the order of what follows them, as far as the longest piece: as many characters as fit a number, then twice as many each time."""
-        n = len(text)
-        alphabet, code = np.unique(text, return_inverse=True)
-        bits = int(len(alphabet)).bit_length()
-        reach = min(62 // bits, self.longest)
-        code = np.concatenate([code.reshape(-1) + 1, np.zeros(reach, np.int64)])
-        key = np.zeros(n, np.int64)
-        for t in range(reach):
-            key = key << bits | code[t : t + n]
-        while True:
-            suffixes = np.argsort(key)
-            new = np.ones(n, np.int64)
-            new[1:] = key[suffixes[1:]] != key[suffixes[:-1]]
-            if reach >= self.longest:
-                return suffixes
+        places, lengths = suffixes[_ranges(low, count)], np.repeat(self.lengths, count)
+        edges = np.zeros(len(code) * (self.longest + 1), np.min_scalar_type(len(self.ids)))
+        edges[places * (self.longest + 1) + lengths] = np.repeat(np.arange(len(count)), count)
+        far = np.ones(len(code), np.int64)
+        far[places] = lengths  # the longest of a place comes last
+        return edges, far
+
+    def _suffixes(self, code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order of what follows them, as far as the longest piece or their unit's end, and the numbers of their first characters.
+
+        Those that agree in as many characters as fit a number, all of their unit, are sorted by twice as many each time.
+        """
+        n, reach = len(code), self.reach
+        padded = np.concatenate([code, np.zeros(reach, np.int64)])
+        key = code
+        for t in range(1, reach):
+            key = key << self.bits | padded[t : t + n]
+        suffixes = np.argsort(key)
+        packed = key[suffixes]
+        new = np.ones(n, bool)
+        new[1:] = packed[1:] != packed[:-1]
+        left = ends - np.arange(n)
+        slots = np.arange(n)
+        while reach < self.longest:
+            same = ~new[slots]
+            same[:-1] |= same[1:]
+            slots = slots[same]
+            slots = slots[left[suffixes[slots]] >= reach]  # whole groups: none of their characters is a unit's end
+            if not len(slots):
+                break
             order = np.zeros(n + reach, np.int64)
             order[suffixes] = np.cumsum(new)
-            key = order[:n] * (n + 1) + order[reach:]
+            places = suffixes[slots]
+            key = order[places] * (n + 1) + order[places + reach]
+            by = np.argsort(key)
+            suffixes[slots], key = places[by], key[by]
+            new[slots[1:]] = key[1:] != key[:-1]
             reach *= 2
+        return suffixes, packed
 
     @staticmethod
     def _bound(suffixes: np.ndarray, text: np.ndarray, t: int, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,82 +217,66 @@ class PieceModel:
             low[open_] = np.where(less, mid + 1, low[open_])
             high[open_] = np.where(less, high[open_], mid)
 
-    def _relax(self, text: np.ndarray, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the symbols when no neighbours join to a piece any more."""
-        width, n = self.longest + 1, len(text)
-        at = keys // width
-        covered = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + keys % width - 1, minlength=n + 1))  # the border after each place
-        starts = np.nonzero(text)[0]
-        ends = starts + 1
-        new = np.ones(len(starts), bool)
-        new[1:] = (starts[1:] != ends[:-1]) | (covered[starts[:-1]] <= 0)
-        segment = np.cumsum(new) - 1
-        firsts = np.nonzero(new)[0]
-        sizes = np.diff(np.append(firsts, len(starts)))
-        done: list[tuple[np.ndarray, np.ndarray]] = [(starts[:0], ends[:0])]
-        for i in np.nonzero(sizes > LONG)[0].tolist():
-            done.append(self._relax_long(int(starts[firsts[i]]), int(sizes[i]), keys, which))
-        stay = (sizes > 1) & (sizes <= LONG)
-        single = (sizes == 1)[segment]
-        done.append((starts[single], ends[single]))
-        starts, ends, segment = (x[stay[segment]] for x in (starts, ends, segment))
-        none = np.iinfo(np.int64).max
-        while len(starts):
-            new = np.ones(len(starts), bool)
-            new[1:] = segment[1:] != segment[:-1]
-            unit = np.cumsum(new) - 1
-            # Rank of joining each symbol with the next one of its segment.
-            rank = np.full(len(starts), none)
-            length = np.zeros(len(starts), np.int64)
-            length[:-1] = ends[1:] - starts[:-1]
-            can = np.zeros(len(starts), bool)
-            can[:-1] = ~new[1:] & (length[:-1] <= self.longest)
-            at = np.nonzero(can)[0]
-            rank[at] = self._ranks(starts[at] * width + length[at], keys, which, none)
-            firsts = np.nonzero(new)[0]
-            best = np.minimum.reduceat(rank, firsts)
+    def _relax(self, edges: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The length of the symbol at each place when no neighbours join to a piece any more; 0 inside symbols."""
+        n = len(far)
+        size, back = np.ones(n + 1, np.int64), np.ones(n + 1, np.int64)  # of the symbol here, of the one before
+        places = np.arange(n)
+        new = np.ones(n, bool)
+        new[1:] = np.maximum.accumulate(places + far)[:-1] <= places[1:]
+        first = np.nonzero(new)[0]
+        many = np.diff(np.append(first, n))
+        for i in np.nonzero(many > LONG)[0].tolist():
+            self._relax_long(int(first[i]), int(many[i]), edges, size)
+        some = (many > 1) & (many <= LONG)
+        first, many = first[some], many[some]
+        # Rank of joining each symbol with the next one of its segment, then its place there: the least is the leftmost of the best.
+        none = int(self.ranks[0]) * LONG
+        at = _ranges(first, many)
+        key = self._ranks(edges, at, 2) * LONG + at - np.repeat(first, many)
+        while len(first):
+            slot = np.cumsum(many) - many
+            best = np.minimum.reduceat(key, slot)
             live = best < none
-            over = ~live[unit]
-            done.append((starts[over], ends[over]))
-            chosen = np.nonzero((rank == best[unit]) & ~over)[0]
-            chosen = chosen[np.unique(unit[chosen], return_index=True)[1]]  # the leftmost of each segment
-            ends[chosen] = ends[chosen + 1]
-            stay = ~over
-            stay[chosen + 1] = False
-            starts, ends, segment = starts[stay], ends[stay], segment[stay]
-        starts, ends = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(starts)
-        return starts[order], ends[order]
-
-    def _ranks(self, wanted: np.ndarray, keys: np.ndarray, which: np.ndarray, none: int) -> np.ndarray:
-        """The ranks of the edges with these keys; none where there is no such edge."""
-        if not len(keys):
-            return np.full(len(wanted), none)
-        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[place] == wanted, self.ranks[which[place]], none)
-
-    def _relax_long(self, first: int, n: int, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not live.all():
+                key = key[np.repeat(live, many)]
+                first, many, best = first[live], many[live], best[live]
+                slot = np.cumsum(many) - many
+            place = best % LONG
+            left = first + place
+            old = size[left]
+            joined = old + size[left + old]
+            size[left], size[left + old], back[left + joined] = joined, 0, joined
+            key[slot + place + old] = none
+            key[slot + place] = self._ranks(edges, left, joined + size[left + joined]) * LONG + place
+            inner = np.nonzero(place)[0]
+            left, place, joined, slot = left[inner], place[inner], joined[inner], slot[inner]
+            old = back[left]
+            key[slot + place - old] = self._ranks(edges, left - old, old + joined) * LONG + place - old
+        return size[:n]
+
+    def _ranks(self, edges: np.ndarray, places: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """The ranks of the pieces of these lengths at these places; where there is none, row 0's."""
+        return self.ranks[edges[places * (self.longest + 1) + np.where(lengths <= self.longest, lengths, 0)]]
+
+    def _relax_long(self, first: int, n: int, edges: np.ndarray, size: np.ndarray) -> None:
         """_relax for the n characters from first on, which are one segment: pairs in a heap by rank and place."""
         width = self.longest + 1
-        lo, hi = np.searchsorted(keys, [first * width, (first + n) * width])
-        own, ranks = memoryview(np.ascontiguousarray(keys[lo:hi] - first * width)), memoryview(np.ascontiguousarray(self.ranks[which[lo:hi]]))
+        own, ranks = memoryview(edges[first * width : (first + n) * width]), memoryview(self.ranks)
         gone, none = -2, -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = self._ranks((first + np.arange(n)) * width + 2, keys, which, none).tolist()  # rank of joining a symbol with the next
-        pair[-1] = none
+        pair = self._ranks(edges, first + np.arange(n), 2)  # rank of joining a symbol with the next
+        pair = np.where(pair < self.ranks[0], pair, none).tolist()
         heap = [r * n + p for p, r in enumerate(pair) if r >= 0]
         heapify(heap)
 
         def look(p: int, end: int) -> None:
             """Renew the pair of p, which would reach up to end."""
-            if end - p <= width - 1:
-                key = p * width + end - p
-                at = bisect_left(own, key)
-                if at < len(own) and own[at] == key:
-                    pair[p] = ranks[at]
-                    heappush(heap, ranks[at] * n + p)
-                    return
+            row = own[p * width + end - p] if end - p < width else 0
             pair[p] = none
+            if row:
+                pair[p] = ranks[row]
+                heappush(heap, ranks[row] * n + p)
 
         while heap:
             rank, p = divmod(heappop(heap), n)
@@ -255,7 +293,8 @@ class PieceModel:
             if before[p] >= 0:
                 look(before[p], end)
         starts = np.array([p for p, r in enumerate(pair) if r != gone], np.int64)
-        return starts + first, np.append(starts[1:], n) + first
+        size[first : first + n] = 0
+        size[first + starts] = np.diff(np.append(starts, n))
 
     # Decoding
 
@@ -265,7 +304,37 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """As decode, in UTF-8, for many texts whose ids stand one after the other, with the place after each text's last one."""
+        found = self.raw_array.take(pa.array(ids))
+        _, offsets, data = found.buffers()
+        borders = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
+        data = memoryview(data) if borders[-1] else b""
+        return [bytes(data[a:b]).removeprefix(b" ") for a, b in zip(borders, borders[1:], strict=False)]
+
+
+def _unit_borders(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where units of UTF-8 texts with these ends begin, and the end: before runs of spaces, around line ends, and between texts."""
+    one, two, three = SPACE.encode()
+    spaces = np.nonzero(data[:-2] == one)[0]
+    spaces = spaces[(data[spaces + 1] == two) & (data[spaces + 2] == three)]
+    lines = np.nonzero(data == ord("\n"))[0]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[spaces[np.diff(spaces, prepend=-3) != 3]] = True
+    begins[lines] = begins[lines + 1] = begins[ends] = begins[0] = True
+    return np.nonzero(begins)[0]
+
+
+def _binary(borders: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(data)])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -288,14 +357,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         pieces = model(path)
         for batch in batches:
             for first, texts in text_batches(batch, "text"):
-                found = pieces.encode(texts)
-                arrays = [np.frombuffer(x, "<u4") for x in found]
-                lens = np.array([len(a) for a in arrays], np.int64)
+                texts = [t.encode("utf-8", "surrogatepass") for t in texts]
+                ids, ends = pieces.encode_all(texts)
+                borders = np.concatenate([[0], ends])
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(borders.tolist(), ends.tolist(), strict=False)]
+                exact = [back == t for back, t in zip(pieces.decode_all(ids, ends), texts, strict=True)]
                 yield pa.record_batch(
                     [
-                        batch.column("doc_id").slice(first, len(texts)), pa.array(lens), pa.array([zlib.crc32(x) for x in found], pa.int64()),
-                        pa.array([pieces.decode(a) == t for a, t in zip(arrays, texts, strict=True)], pa.bool_()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<u4"), *arrays]).astype(np.int32))),
+                        batch.column("doc_id").slice(first, len(texts)), pa.array(np.diff(borders)), pa.array(crcs, pa.int64()), pa.array(exact, pa.bool_()),
+                        pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids.view(np.int32))),
                     ],
                     ["doc_id", "n_ids", "ids_crc32", "exact", "ids"],
                 )
