@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..errors import InvalidParams, StreamStateError
 from ..operators import REGISTRY, available, find
 from ..plans.pipeline import Pipeline
+from .ordered import in_order
 
 
 def _mean(x: list[float]) -> float:
@@ -398,19 +399,19 @@ class _Processor(StatefulProcessor):
             snapshot, last = self.state.get()
             streams.load(snapshot)
         # Bars of a micro-batch may come in any order; those not after what was already seen are late and are left out.
-        bars = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").to_dict("records")
-        out = []
-        for bar in bars:
-            at = f"{pd.Timestamp(bar['ts']).isoformat()} {int(bar['seq']):020d}"
-            if at <= last:
-                continue
-            last = at
-            for label, found in streams.update(bar).items():
-                for name, value in found.items():
-                    word = isinstance(value, str)
-                    out.append((key[0], bar["ts"], label, name, None if word or value is None else float(value), value if word else None))
+        for some in in_order(rows):
+            out = []
+            for bar in some.to_dict("records"):
+                at = f"{pd.Timestamp(bar['ts']).isoformat()} {int(bar['seq']):020d}"
+                if at <= last:
+                    continue
+                last = at
+                for label, found in streams.update(bar).items():
+                    for name, value in found.items():
+                        word = isinstance(value, str)
+                        out.append((key[0], bar["ts"], label, name, None if word or value is None else float(value), value if word else None))
+            yield pd.DataFrame(out, columns=["symbol", "ts", "stage", "field", "number", "word"])
         self.state.update((streams.snapshot(), last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "stage", "field", "number", "word"])
 
     def close(self) -> None:
         pass
@@ -419,7 +420,7 @@ class _Processor(StatefulProcessor):
 def stream_indicators(bars: DataFrame, stages: list[tuple[str, str, dict]]) -> DataFrame:
     """Results of (label, indicator, params) stages over a stream of canonical bars, in long form.
 
-    Needs the RocksDB state store. Within a micro-batch bars are put in order; a bar that is not after its symbol's last one is ignored.
+    Needs the RocksDB state store. Within a micro-batch bars are put in order, on the executor's disk if they are many; a bar that is not after its symbol's last one is ignored.
     """
     pipeline = Pipeline()
     for label, name, params in stages:
